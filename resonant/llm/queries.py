@@ -6,21 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from resonant.llm import language_id, secret_scan
+from resonant.llm import chat_format, language_id, line_dedup, secret_scan
 from resonant.llm.common import table
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.with_control_probe(table(spark, sf_dir, "conversations"))
+    return chat_format.digest(chat_format.format_turns(rows))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.result(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_format": op3_chat_format,
     "op6_language_id": op6_language_id,
+    "op7_line_dedup": op7_line_dedup,
     "op8_secret_scan": op8_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": chat_format.ORACLE_SQL,
+    "op7_line_dedup": line_dedup.ORACLE_SQL,
+}
