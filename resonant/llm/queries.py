@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from resonant.llm import best_fit_packing, chat_format, language_id, line_dedup, secret_scan
+from resonant.llm import best_fit_packing, chat_format, language_id, line_dedup, secret_scan, topk_search
 from resonant.llm.common import table
 
 
@@ -27,6 +28,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def tokenizer_paths() -> tuple[str, str]:
     """The public tokenizer's file and the same vocabulary as ranks."""
     import public_tokenizers
@@ -43,10 +48,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op9_exact_topk": op9_exact_topk,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat_format.ORACLE_SQL,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
+    "op9_exact_topk": topk_search.ORACLE_SQL,
 }
