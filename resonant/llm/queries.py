@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resonant.llm import best_fit_packing, chat_format, language_id, line_dedup, secret_scan, topk_search
+from resonant.llm import best_fit_packing, chat_format, language_id, line_dedup, secret_scan, topk_search, toxicity
 from resonant.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.with_control_probe(table(spark, sf_dir, "conversations"))
     return chat_format.digest(chat_format.format_turns(rows))
@@ -44,6 +48,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_chat_format": op3_chat_format,
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
