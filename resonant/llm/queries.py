@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resonant.llm import best_fit_packing, chat_format, decontamination, html_extract, language_id, line_dedup, secret_scan, topk_search, toxicity
+from resonant.llm import best_fit_packing, chat_format, decontamination, html_extract, language_id, line_dedup, ngram_join, secret_scan, topk_search, toxicity
 from resonant.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_chat_format": op3_chat_format,
     "op4_html_extract": op4_html_extract,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op8_secret_scan": op8_secret_scan,
