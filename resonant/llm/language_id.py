@@ -196,17 +196,17 @@ def sample_texts(
     return {k: v for k, v in out.items() if v}
 
 
-def predict(docs: DataFrame, model: PPMModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, lang_pred, score (the posterior under equal priors) and bits_per_byte under the predicted language."""
+def predict(docs: DataFrame, model: PPMModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """The kept columns and, under these names, the language, its posterior under equal priors and its bits per byte."""
     from pyspark.sql import types as T
 
     source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
-    out = T.StructType([source.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
+    out = T.StructType([source.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        names = [*m.languages, UNDETERMINED]
+        languages = [*m.languages, UNDETERMINED]
         for batch in batches:
             at = batch.schema.names.index("__text")
             data, offs = text_arrays(batch.column(at))
@@ -225,8 +225,8 @@ def predict(docs: DataFrame, model: PPMModel, text: str = "text", keep: tuple[st
                     pick[i], score[i], rate[i] = len(m.languages), 0.0, 0.0
             kept = [batch.column(k) for k in range(batch.num_columns) if k != at]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array([names[k] for k in pick], pa.string()), pa.array(score), pa.array(rate)],
-                names=[x for x in batch.schema.names if x != "__text"] + ["lang_pred", "score", "bits_per_byte"],
+                [*kept, pa.array([languages[k] for k in pick], pa.string()), pa.array(score), pa.array(rate)],
+                names=[x for x in batch.schema.names if x != "__text"] + list(names),
             )
 
     return source.mapInArrow(run, out)

@@ -43,21 +43,20 @@ def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio
     )
 
 
-def apply_to(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """All columns of docs with the text cleaned, plus n_lines and n_dropped."""
+def apply_to(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
+    """All columns of docs with the text cleaned, plus n_lines and n_dropped where counts are wanted."""
     lines = boilerplate(docs, text, host, ratio, min_pages)
     per_host = lines.groupBy("host").agg(F.collect_list("line").alias("__lines")).withColumnRenamed("host", "__host")
     few = lines.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     joined = docs.join(F.broadcast(per_host) if few else per_host, F.col(host).eqNullSafe(F.col("__host")), "left")
     kept = F.filter("__split", lambda x: (_key(x) == "") | ~F.array_contains("__drop", _key(x)))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size("__split"))
+    out = joined.withColumn("__split", F.split(text, "\n", -1)).withColumn("__drop", F.coalesce("__lines", F.array().cast("array<string>"))).withColumn("__kept", kept)
+    if counts:
+        n_kept = F.when(F.col(text).isNull(), 0).otherwise(F.size("__kept"))
+        out = out.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": (n_lines - n_kept).cast("long")})
     return (
-        joined.withColumn("__split", F.split(text, "\n", -1))
-        .withColumn("__drop", F.coalesce("__lines", F.array().cast("array<string>")))
-        .withColumn("__kept", kept)
-        .withColumn("n_lines", n_lines.cast("long"))
-        .withColumn("n_dropped", (n_lines - F.when(F.col(text).isNull(), 0).otherwise(F.size("__kept"))).cast("long"))
-        .withColumn(text, F.array_join("__kept", "\n"))
+        out.withColumn(text, F.array_join("__kept", "\n"))
         .drop("__lines", "__host", "__split", "__drop", "__kept")
     )
 
