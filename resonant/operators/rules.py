@@ -95,7 +95,8 @@ def adjusted(base: DataFrame, steps: list[Adjustment], score: str = "main") -> D
     value = F.col(score)
     for s in steps:
         hit = s.test & ~s.unless if s.unless is not None else s.test
-        new = F.greatest(value, F.lit(s.amount)) if s.kind == "floor" else value + s.amount
+        # greatest() passes over nulls; an unknown score stays unknown
+        new = F.when(value.isNotNull(), F.greatest(value, F.lit(s.amount))) if s.kind == "floor" else value + s.amount
         value = F.when(hit.isNull(), F.lit(None).cast("int")).when(hit, new).otherwise(value)
     held = F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0)), F.lit(100)))
     return base.withColumn("adjusted", held.cast("int"))
