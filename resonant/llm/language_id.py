@@ -67,7 +67,7 @@ class _Table:
             return False
         self.bits = bits
         self.held = held.astype(np.int32)
-        self.keys = np.where(held >= 0, keys[np.maximum(held, 0)], np.uint64(1 << 40)).astype(np.uint64)
+        self.keys = np.where(held >= 0, np.append(keys, np.uint64(0))[np.maximum(held, 0)], np.uint64(1 << 40)).astype(np.uint64)
         self.n = len(keys)
         return True
 
