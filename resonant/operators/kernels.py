@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WIDTH, HOP = 4096, 2048
 
@@ -174,43 +175,122 @@ def sync_positions(left: np.ndarray, right: np.ndarray, marker: str, planes: tup
 
 
 def mean_spectra(blocks: DataFrame, width: int = WIDTH, hop: int = HOP) -> DataFrame:
-    """(track, channel, frames, bin, power): per-bin sums inside the kernel, so only one row a bin leaves it.
-
-    Channels are read in block order; frames that cross blocks are kept by carrying the last samples over."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        carry, total, frames, peak = np.zeros(0), np.zeros(width // 2 + 1), 0, 0.0
-        for x in pdf.sort_values("block")["samples"]:
-            carry = np.concatenate([carry, np.asarray(x)])
-            m = magnitudes(carry, width, hop).astype(np.float64)
-            if len(m):
-                total += (m**2).sum(axis=0)
-                peak = max(peak, float(m.max()))
-                frames += len(m)
-                carry = carry[len(m) * hop :]
-        return pd.DataFrame({"track": pdf["track"].iloc[0], "channel": pdf["channel"].iloc[0], "frames": frames, "bin": np.arange(len(total)), "power": total / max(frames, 1), "peak": peak})
-
-    return blocks.groupBy("track", "channel").applyInPandas(run, "track string, channel int, frames long, bin long, power double, peak double")
+    """(track, channel, frames, bin, power, peak): mean power of each bin over all frames.
+
+    Every block is transformed alone: it gets the next block's first samples, so frames that begin in it are whole, and a
+    channel is never gathered in one task. Blocks but the last must be at least width long. Only one row a bin and block
+    leaves the kernel."""
+    order = Window.partitionBy("track", "channel").orderBy("block")
+    following = F.slice(F.lead("samples").over(order), 1, width)
+    joined = blocks.select("track", "channel", "start_frame", "samples", F.coalesce(following, F.array().cast("array<double>")).alias("after"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for track, channel, start, x, after in zip(pdf["track"], pdf["channel"], pdf["start_frame"], pdf["samples"], pdf["after"], strict=True):
+                skip = -start % hop  # frames begin at multiples of the hop from the channel's start
+                whole = np.concatenate([np.asarray(x), np.asarray(after)])[skip:]
+                begin_here = max(0, (len(x) - skip + hop - 1) // hop)
+                m = magnitudes(whole, width, hop)[:begin_here].astype(np.float64)
+                if len(m):
+                    yield pd.DataFrame({"track": track, "channel": channel, "frames": len(m), "bin": np.arange(m.shape[1]), "power": (m**2).sum(axis=0), "peak": m.max()})
+
+    sums = joined.mapInPandas(run, "track string, channel int, frames long, bin long, power double, peak double")
+    return sums.groupBy("track", "channel", "bin").agg(F.sum("frames").alias("frames"), (F.sum("power") / F.sum("frames")).alias("power"), F.max("peak").alias("peak"))
+
+
+class Cascade:
+    """Biquads in series over long blocks by matrices: the response to the input and to the registers, chunk by chunk.
+
+    Registers at the end of a block are linear in those at its start, so blocks can be filtered in parallel and joined."""
+
+    CHUNK = 128
+
+    def __init__(self, sections: tuple[tuple[float, ...], ...]):
+        self.sections, n = sections, self.CHUNK
+        self.order = 2 * len(sections)
+        zero = np.zeros(self.order)
+        impulse = np.zeros(n)
+        impulse[0] = 1
+        h, _ = self._plain(impulse, zero)
+        self.respond = np.zeros((n, n))
+        for i in range(n):
+            self.respond[i, i:] = h[: n - i]
+        free = [self._plain(np.zeros(n), e) for e in np.eye(self.order)]
+        self.ring = np.array([y for y, _ in free])
+        self.power = np.array([z for _, z in free])
+        # registers after the chunk, for a unit at each place of it
+        self.load = np.array([self._plain(impulse[: n - i], zero)[1] for i in range(n)])
+
+    def _plain(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out, end = x, []
+        for k, c in enumerate(self.sections):
+            out, z = biquad(out, c, tuple(state[2 * k : 2 * k + 2]))
+            end += z
+        return out, np.array(end)
+
+    def __call__(self, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The output and the registers after it."""
+        state = np.zeros(self.order) if state is None else np.asarray(state, float)
+        n = len(x) // self.CHUNK
+        head = x[: n * self.CHUNK].reshape(n, self.CHUNK)
+        loads = head @ self.load
+        states = np.empty((n, self.order))
+        for i in range(n):
+            states[i] = state
+            state = state @ self.power + loads[i]
+        out = (head @ self.respond + states @ self.ring).ravel()
+        tail, state = self._plain(x[n * self.CHUNK :], state)
+        return np.concatenate([out, tail]), state
+
+    def advance(self, n: int) -> np.ndarray:
+        """The matrix that n samples of silence apply to the registers, as rows."""
+        rest = np.array([self._plain(np.zeros(n % self.CHUNK), e)[1] for e in np.eye(self.order)])
+        return np.linalg.matrix_power(self.power, n // self.CHUNK) @ rest
 
 
 def weighted_hops(blocks: DataFrame, rates: DataFrame) -> DataFrame:
-    """(track, channel, block, ms): mean squares of loudness-weighted tenths of a second, filter registers carried across blocks."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rate = int(pdf["sample_rate"].iloc[0])
-        hop = rate // 10
-        (s1, s2), r1, r2 = k_weighting(rate), (0.0, 0.0), (0.0, 0.0)
-        carry, out = np.zeros(0), []
-        for x in pdf.sort_values("block")["samples"]:
-            y, r1 = biquad(np.asarray(x), s1, r1)
-            y, r2 = biquad(y, s2, r2)
-            carry = np.concatenate([carry, y])
-            n = len(carry) // hop
-            out += (carry[: n * hop].reshape(n, hop) ** 2).mean(axis=1).tolist()
-            carry = carry[n * hop :]
-        return pd.DataFrame({"track": pdf["track"].iloc[0], "channel": pdf["channel"].iloc[0], "block": np.arange(len(out)), "ms": out})
-
-    return blocks.join(rates.select("track", "sample_rate"), "track").groupBy("track", "channel").applyInPandas(run, "track string, channel int, block long, ms double")
+    """(track, channel, block, ms): mean squares of loudness-weighted tenths of a second.
+
+    Blocks are filtered in parallel from empty registers; their end registers, four numbers a block, are chained per
+    channel, and each block is then filtered again from its true start. No channel is gathered in one task."""
+    rated = blocks.join(rates.where("status = 'analysed'").select("track", "sample_rate"), "track")
+    filters: dict[int, Cascade] = {}
+
+    def cascade(rate: int) -> Cascade:
+        return filters.get(rate) or filters.setdefault(rate, Cascade(k_weighting(rate)))
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(t, c, b, r, len(x), cascade(r)(np.asarray(x))[1].tolist()) for t, c, b, r, x in zip(pdf["track"], pdf["channel"], pdf["block"], pdf["sample_rate"], pdf["samples"], strict=True)]
+            yield pd.DataFrame(rows, columns=["track", "channel", "block", "sample_rate", "n", "z"])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        steps: dict[int, np.ndarray] = {}
+        state, begin = np.zeros(4), []
+        for rate, n, z in zip(pdf["sample_rate"], pdf["n"], pdf["z"], strict=True):
+            begin.append(state.tolist())
+            step = steps.get(n)
+            if step is None:
+                step = steps.setdefault(n, cascade(int(rate)).advance(int(n)))
+            state = state @ step + np.asarray(z)
+        return pd.DataFrame({"track": pdf["track"], "channel": pdf["channel"], "block": pdf["block"], "begin": begin})
+
+    shape = "track string, channel int, block long, sample_rate int, n long, z array<double>"
+    begins = rated.mapInPandas(ends, shape).groupBy("track", "channel").applyInPandas(chain, "track string, channel int, block long, begin array<double>")
+
+    def squares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t, c, r, start, x, begin in zip(pdf["track"], pdf["channel"], pdf["sample_rate"], pdf["start_frame"], pdf["samples"], pdf["begin"], strict=True):
+                y, _ = cascade(r)(np.asarray(x), np.asarray(begin))
+                hop = (start + np.arange(len(y))) // (r // 10)
+                first = int(hop[0]) if len(hop) else 0
+                n = np.bincount(hop - first)
+                yield pd.DataFrame({"track": t, "channel": c, "block": first + np.arange(len(n)), "hop": r // 10, "n": n, "s": np.bincount(hop - first, weights=y * y)})
+
+    parts = rated.join(begins, ["track", "channel", "block"]).mapInPandas(squares, "track string, channel int, block long, hop long, n long, s double")
+    whole = parts.groupBy("track", "channel", "block").agg(F.sum("n").alias("n"), F.max("hop").alias("hop"), F.sum("s").alias("s"))
+    return whole.where("n = hop").select("track", "channel", "block", (F.col("s") / F.col("n")).alias("ms"))
 
 
 def integrated_loudness(hops: DataFrame) -> DataFrame:
@@ -220,9 +300,3 @@ def integrated_loudness(hops: DataFrame) -> DataFrame:
     total = hops.groupBy("track", "block").agg(F.sum("ms").alias("p"))
     # a hop of one frame whose square is the hop's power
     return gated_level(total.select(F.col("track").alias("part"), F.col("block").alias("frame"), F.sqrt("p").alias("x")), hop=1).withColumnRenamed("part", "track")
-
-
-def sparse_batches(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    """For mapInPandas over (key, samples): each row's magnitudes as an array."""
-    for pdf in batches:
-        yield pd.DataFrame({"key": pdf["key"], "m": [np.abs(np.fft.rfft(np.asarray(x), width)) for x in pdf["samples"]]})

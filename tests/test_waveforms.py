@@ -84,6 +84,32 @@ def test_biquad_carries_its_registers():
     assert np.array_equal(whole, np.concatenate([a, b]))
 
 
+def test_cascade_of_blocks_is_the_plain_filter():
+    x = np.random.default_rng(3).normal(size=1000)
+    sections = K.k_weighting(48_000)
+    want = K.biquad(K.biquad(x, sections[0])[0], sections[1])[0]
+    c = K.Cascade(sections)
+    whole, end = c(x)
+    assert np.allclose(whole, want, atol=1e-12)
+    a, s = c(x[:333])
+    b, e = c(x[333:], s)
+    assert np.allclose(np.concatenate([a, b]), want, atol=1e-12) and np.allclose(e, end, atol=1e-12)
+    assert np.allclose(s @ c.advance(667) + c(x[333:])[1], end, atol=1e-12)
+
+
+def test_block_sizes_change_neither_spectrum_nor_loudness(spark, folder):
+    path, _ = folder
+    found = wav.files(spark, path)
+    spectra, levels = [], []
+    for size in (5_000, 48_000):
+        b = wav.blocks(found, block_frames=size)
+        spectra.append({(r.channel, r.bin): r.power for r in K.mean_spectra(b).collect()})
+        levels.append(sorted((r.channel, r.block, r.ms) for r in K.weighted_hops(b, wav.headers(found)).collect()))
+    assert spectra[0].keys() == spectra[1].keys() and len(levels[0]) == 20
+    assert all(abs(spectra[0][k] - v) <= 1e-6 * max(v, 1e-3) for k, v in spectra[1].items())
+    assert np.allclose(levels[0], levels[1], atol=1e-12)
+
+
 def test_small_kernels():
     assert K.next_fast_length(13) == 14 and K.next_fast_length(97) == 98
     assert K.loudest_anchors(np.array([5, 9, 9, 1, 7.0]), 2, 1) == [1, 4]
