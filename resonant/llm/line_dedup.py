@@ -3,9 +3,10 @@
 Documents are grouped by host (the source column of documents). A line's ratio is the number of the host's pages that
 contain it, divided by the number of the host's pages; lines whose ratio is above boilerplate_ratio are dropped from
 all pages of that host. Frequencies come from all rows: each page counts a line once, the counts are pre-aggregated
-before the shuffle and keyed by (host, line), so a host with a third of all rows spreads over all tasks. The lines
-above the ratio are few by arithmetic (at most lines per page / ratio for each host); they are joined back per host,
-by broadcast if their measured size is small and by a shuffle join otherwise.
+before the shuffle and keyed by (host, 64-bit hash of the line), so a host with a third of all rows spreads over all
+tasks and no text is shuffled for counting; lines of equal hash count as equal. The lines above the ratio are few by
+arithmetic (at most lines per page / ratio for each host); their hashes are joined back per host, by broadcast if their
+measured number is small and by a shuffle join otherwise.
 
 Defined cases: lines are cut at \\n and compared after removing blanks at both ends; empty lines are never dropped; a
 null text stays null with 0 lines; a null host is a host of its own; a line must be on at least min_pages pages of the
@@ -20,38 +21,39 @@ from pyspark.sql import functions as F
 
 BOILERPLATE_RATIO = 0.08
 MIN_PAGES = 3
-#: Boilerplate lines up to this many are broadcast (about 100 bytes each); above it the join shuffles.
-BROADCAST_LINES = 100_000
+#: Boilerplate lines up to this many are broadcast (8 bytes each); above it the join shuffles.
+BROADCAST_LINES = 500_000
 
 
 def _key(line: Column) -> Column:
-    return F.trim(line)
+    """The hash of a line without blanks at its ends; null for an empty one."""
+    bare = F.trim(line)
+    return F.when(bare != "", F.xxhash64(bare))
 
 
 def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, line, pages, host_pages of every line above the ratio."""
+    """host, h (the line's hash), pages, host_pages of every line above the ratio."""
     pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text"))
     totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    lines = pages.select("host", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), _key))).alias("line")).where(F.col("line") != "")
-    # the hash is the shuffle key, so that long lines don't travel; lines of equal hash have equal texts but for 2**-64
-    counts = lines.groupBy("host", F.xxhash64("line").alias("h")).agg(F.count("*").alias("pages"), F.first("line").alias("line"))
+    lines = pages.select("host", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), _key))).alias("h")).where("h is not null")
+    counts = lines.groupBy("host", "h").agg(F.count("*").alias("pages"))
     return (
         counts.where(F.col("pages") >= min_pages)
         .join(totals.withColumnRenamed("host", "h2"), F.col("host").eqNullSafe(F.col("h2")))
         .where(F.col("pages") > ratio * F.col("host_pages"))
-        .select("host", "line", "pages", "host_pages")
+        .select("host", "h", "pages", "host_pages")
     )
 
 
 def apply_to(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
     """All columns of docs with the text cleaned, plus n_lines and n_dropped where counts are wanted."""
     lines = boilerplate(docs, text, host, ratio, min_pages)
-    per_host = lines.groupBy("host").agg(F.collect_list("line").alias("__lines")).withColumnRenamed("host", "__host")
+    per_host = lines.groupBy("host").agg(F.collect_list("h").alias("__lines")).withColumnRenamed("host", "__host")
     few = lines.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     joined = docs.join(F.broadcast(per_host) if few else per_host, F.col(host).eqNullSafe(F.col("__host")), "left")
-    kept = F.filter("__split", lambda x: (_key(x) == "") | ~F.array_contains("__drop", _key(x)))
+    kept = F.filter("__split", lambda x: ~F.coalesce(F.array_contains("__drop", _key(x)), F.lit(False)))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size("__split"))
-    out = joined.withColumn("__split", F.split(text, "\n", -1)).withColumn("__drop", F.coalesce("__lines", F.array().cast("array<string>"))).withColumn("__kept", kept)
+    out = joined.withColumn("__split", F.split(text, "\n", -1)).withColumn("__drop", F.coalesce("__lines", F.array().cast("array<long>"))).withColumn("__kept", kept)
     if counts:
         n_kept = F.when(F.col(text).isNull(), 0).otherwise(F.size("__kept"))
         out = out.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": (n_lines - n_kept).cast("long")})
