@@ -44,8 +44,8 @@ WORDS = 5
 LEAST, PARTS = 75, 100
 #: Text bytes that one bucket of step 1 stands for; a bucket is held in one task's memory.
 BUCKET_BYTES = 24_000_000
-#: Sets up to this many are picked by a broadcast of their 8-byte hashes; above it by a shuffle join.
-BROADCAST_SETS = 1_000_000
+#: Bits of the map that spares most sets the shuffle of step 2; its size is fixed, an exact join follows.
+MAP_BITS = 1 << 23
 #: Shingles of a block that one task searches.
 BLOCK_TOKENS = 6_000_000
 
@@ -190,32 +190,35 @@ def _without_partner(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sig": name[total > size - -(-LEAST * size // PARTS)]})
 
 
+def _bit_map(wanted: DataFrame) -> np.ndarray:
+    """A map of MAP_BITS bits of the wanted sets' names, folded on the executors: at most MAP_BITS / 64 rows leave them."""
+    bits = wanted.select(F.pmod("sig", F.lit(MAP_BITS)).alias("b"))
+    word = bits.select(F.expr("shiftright(b, 6)").alias("w"), F.expr("shiftleft(1L, CAST(b % 64 AS INT))").alias("m"))
+    got = word.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.uint64)
+    out[got["w"].to_numpy()] = got["m"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """sig, n and shingles of every wanted set, once."""
-    few = wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
-    names = np.sort(np.array([r["sig"] for r in wanted.collect()], np.int64)) if few else None
-    held = docs.sparkSession.sparkContext.broadcast(names)
+    held = docs.sparkSession.sparkContext.broadcast(_bit_map(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = held.value
+        bits = held.value
         seen: set[int] = set()
         for batch in batches:
             rows = []
             for s in shingle_sets(batch.column(0), n):
                 sig = signature(s) if len(s) else None
-                if sig is None or sig in seen:
+                if sig is None or sig in seen or not int(bits[(sig % MAP_BITS) >> 6]) >> (sig % 64) & 1:
                     continue
-                if names is not None and not (len(names) and names[min(np.searchsorted(names, sig), len(names) - 1)] == sig):
-                    continue
-                if names is not None:
-                    seen.add(sig)
+                seen.add(sig)
                 rows.append((sig, len(s), s.view(np.int64)))
             columns = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))], names=["sig", "n", "shingles"])
 
-    sets = docs.select("text").mapInArrow(run, "sig long, n long, shingles array<long>")
-    if not few:
-        sets = sets.join(wanted, "sig", "left_semi")
+    sets = docs.select("text").mapInArrow(run, "sig long, n long, shingles array<long>").join(wanted, "sig", "left_semi")
     return sets.groupBy("sig").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 
