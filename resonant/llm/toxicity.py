@@ -9,7 +9,7 @@ step goes up that term's gradient instead. Features are the presence of a word a
 the positives than in the unlabelled rows; a document's score is the logistic of the bias and its features' weights.
 
 Training takes bounded samples, those with the smallest text hashes: max_positive toxic rows and max_unlabelled others,
-whole texts, one of each group of equal ones. Scoring covers every row and whole texts.
+whole texts, one of each group of equal ones and, of the toxic ones, of near copies. Scoring covers every row and whole texts.
 
 Defined cases: a null or empty text scores as one without features; a document with several labels is toxic if one of
 them says so; with no toxic row to learn from every score is 0; extra columns are dropped; repeated rows are scored
@@ -27,17 +27,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from resonant.llm.common import IS_BREAK, WordHashes, chunks, text_arrays
+from resonant.llm.common import IS_BREAK, WordHashes, chunks, mix, text_arrays
 
 MAX_POSITIVE = 2000
 MAX_UNLABELLED = 6000
 #: Longest text of a training row; longer rows are left to other rows of the sample, never cut.
 MAX_SAMPLE_BYTES = 40_000
 PREFIXES = (4, 5, 6)
-#: A kept feature is in at least so many positives and such a share of them, and so many times as frequent there as in the unlabelled rows.
-MIN_SUPPORT = 5
-MIN_SHARE = 0.01
-MIN_LIFT = 4.0
+#: A kept feature is so many times as frequent in the positives as in the unlabelled rows, and that by chance with a
+#: probability of at most exp(-MIN_EVIDENCE) (Chernoff's bound for a Poisson count).
+MIN_LIFT = 3.0
+MIN_EVIDENCE = 10.0
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,20 +94,42 @@ def _presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found_h), np.concatenate(found_d)
 
 
+def _one_of_each(h: np.ndarray, doc: np.ndarray, n: int, hashes: int = 16, same: int = 8) -> np.ndarray:
+    """Which of the n documents to keep so that near copies in the sample, by min-hashes of their features, count once."""
+    sketch = np.zeros((n, hashes), np.uint64)
+    if len(h):
+        first = np.r_[0, np.flatnonzero(np.diff(doc)) + 1]
+        for k in range(hashes):
+            sketch[doc[first], k] = np.minimum.reduceat(mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))), first)
+    keep = np.ones(n, bool)
+    heads: dict[tuple[int, int], int] = {}
+    for i in range(n):
+        near = {heads[k, v] for k, v in enumerate(sketch[i].tolist()) if (k, v) in heads}
+        if any((sketch[i] == sketch[j]).sum() >= same for j in near):
+            keep[i] = False
+        else:
+            for k, v in enumerate(sketch[i].tolist()):
+                heads.setdefault((k, v), i)
+    return keep
+
+
 def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, steps: int = 400, rate: float = 0.05, l2: float = 0.01, beta: float = 0.0, gamma: float = 1.0) -> Model:
     """Weights that minimise the non-negative risk estimate, by Adam on all sampled rows."""
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -50.0, prior)
     if not positive or not unlabelled:
         return none
     hp, dp = _presence(positive)
+    own = _one_of_each(hp, dp, len(positive))
+    positive = [t for t, k in zip(positive, own, strict=True) if k]
+    hp, dp = hp[own[dp]], (np.cumsum(own) - 1)[dp[own[dp]]]
     hu, du = _presence(unlabelled)
     keys, np_ = np.unique(hp, return_counts=True)
     at = np.searchsorted(keys, hu)
     known = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == hu)
     nu = np.bincount(at[known], minlength=len(keys))
     lift = ((np_ + 0.0) / len(positive)) / ((nu + 0.5) / len(unlabelled))
-    least = max(min(MIN_SUPPORT, max(1, len(positive) // 4)), MIN_SHARE * len(positive))
-    keep = (np_ >= least) & (lift >= MIN_LIFT)
+    evidence = np_ * (np.log(np.maximum(lift, 1)) - 1 + 1 / np.maximum(lift, 1))
+    keep = (lift >= MIN_LIFT) & (evidence >= MIN_EVIDENCE)
     if not keep.any():
         return none
     keys = keys[keep]
