@@ -32,7 +32,7 @@ from resonant.llm.common import IS_BREAK, WordHashes, chunks, mix, text_arrays
 MAX_POSITIVE = 2000
 MAX_UNLABELLED = 6000
 #: Longest text of a training row; longer rows are left to other rows of the sample, never cut.
-MAX_SAMPLE_BYTES = 40_000
+MAX_SAMPLE_BYTES = 16_000
 PREFIXES = (4, 5, 6)
 #: A kept feature is so many times as frequent in the positives as in the unlabelled rows, and that by chance with a
 #: probability of at most exp(-MIN_EVIDENCE) (Chernoff's bound for a Poisson count).
@@ -80,18 +80,27 @@ class Model:
         return out
 
 
-def _presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, feature hash) pairs of the texts."""
+def _presence(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct (feature hash, document) pairs of the texts, documents ascending, a run of documents at a time."""
     data, offs = text_arrays(pa.array(texts, pa.string()))
-    found_h, found_d = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, j in chunks(offs):
         h, doc = features(data, offs[i : j + 1])
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
         new = np.r_[True, (np.diff(doc) != 0) | (np.diff(h) != 0)][: len(h)]
-        found_h.append(h[new])
-        found_d.append(doc[new] + i)
-    return np.concatenate(found_h), np.concatenate(found_d)
+        yield h[new], doc[new] + i
+
+
+def _known(keys: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted keys and documents of the pairs whose feature is one of them."""
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    hit = keys[at] == h
+    return at[hit], doc[hit]
+
+
+def _joined(parts: Iterator[tuple[np.ndarray, np.ndarray]], kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+    rows = [(np.zeros(0, kind), np.zeros(0, np.int64)), *parts]
+    return np.concatenate([a for a, _ in rows]), np.concatenate([b for _, b in rows])
 
 
 def _one_of_each(h: np.ndarray, doc: np.ndarray, n: int, hashes: int = 16, same: int = 8) -> np.ndarray:
@@ -118,29 +127,24 @@ def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, steps: in
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -50.0, prior)
     if not positive or not unlabelled:
         return none
-    hp, dp = _presence(positive)
+    hp, dp = _joined(_presence(positive), np.uint64)
     own = _one_of_each(hp, dp, len(positive))
     positive = [t for t, k in zip(positive, own, strict=True) if k]
     hp, dp = hp[own[dp]], (np.cumsum(own) - 1)[dp[own[dp]]]
-    hu, du = _presence(unlabelled)
     keys, np_ = np.unique(hp, return_counts=True)
-    at = np.searchsorted(keys, hu)
-    known = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == hu)
-    nu = np.bincount(at[known], minlength=len(keys))
-    lift = ((np_ + 0.0) / len(positive)) / ((nu + 0.5) / len(unlabelled))
+    if not len(keys):
+        return none
+    nu = np.zeros(len(keys), np.int64)
+    for h, d in _presence(unlabelled):
+        nu += np.bincount(_known(keys, h, d)[0], minlength=len(keys))
+    lift = (np_ / len(positive)) / ((nu + 0.5) / len(unlabelled))
     evidence = np_ * (np.log(np.maximum(lift, 1)) - 1 + 1 / np.maximum(lift, 1))
     keep = (lift >= MIN_LIFT) & (evidence >= MIN_EVIDENCE)
     if not keep.any():
         return none
     keys = keys[keep]
-
-    def select(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        hit = keys[at] == h
-        return at[hit], d[hit]
-
-    fp, dp = select(hp, dp)
-    fu, du = select(hu, du)
+    fp, dp = _known(keys, hp, dp)
+    fu, du = _joined(_known(keys, h, d) for h, d in _presence(unlabelled))
     w, b = np.zeros(len(keys)), -2.0
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
