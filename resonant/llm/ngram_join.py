@@ -49,6 +49,9 @@ MAP_BITS = 1 << 23
 #: Shingles of a block that one task searches.
 BLOCK_TOKENS = 6_000_000
 
+#: Edges up to this many (16 bytes each) are united in one task; above it by rounds of joins.
+SMALL_EDGES = 1_000_000
+
 _LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -222,9 +225,32 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return sets.groupBy("sig").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node it is connected with) of every node of the edges (a, b), by alternating stars."""
+def _unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All edges of one partition: every node with the smallest node it is connected with."""
+    parts = [pdf[["a", "b"]].to_numpy(np.int64) for pdf in batches]
+    edges = np.concatenate([np.zeros((0, 2), np.int64), *parts])
+    nodes, at = np.unique(edges, return_inverse=True)
+    left, right = at.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        least = np.minimum(label[left], label[right])
+        np.minimum.at(new, label[left], least)
+        np.minimum.at(new, label[right], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pd.DataFrame({"node": nodes, "root": nodes[label]})
+
+
+def components(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
+    """node and root (the smallest node it is connected with) of every node of the edges (a, b).
+
+    A checked, bounded number of edges is united in one task on an executor; more take rounds of alternating stars."""
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if now.count() <= small_edges:
+        return now.coalesce(1).mapInPandas(_unite, "node long, root long")
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -387,7 +413,7 @@ def _search_large(members: DataFrame, slice_tokens: int) -> DataFrame:
     return star.unionByName(asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, "a long, b long"))
 
 
-def link_components(docs: DataFrame, n: int = WORDS, bucket_bytes: int = BUCKET_BYTES, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def link_components(docs: DataFrame, n: int = WORDS, bucket_bytes: int = BUCKET_BYTES, block_tokens: int = BLOCK_TOKENS, small_edges: int = SMALL_EDGES) -> DataFrame:
     """doc_id, n_shingles, component_id and class_size (rows with the very same set) of every document."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -408,7 +434,7 @@ def link_components(docs: DataFrame, n: int = WORDS, bucket_bytes: int = BUCKET_
     reach = F.col("n") - F.ceil(F.col("n") * LEAST / PARTS) + 1 - (F.col("n") - F.size("s"))
     prefix = materialize(rare_first.where(reach > 0).select("sig", F.explode(F.slice("s", F.lit(1), reach.cast("int"))).alias("x")).select("sig", F.col("x.t").alias("t")))
     heads = prefix.groupBy("t").agg(F.min("sig").alias("head"), F.count("*").alias("k")).where("k > 1")
-    blocks = components(prefix.join(heads, "t").where("sig <> head").select(F.col("sig").alias("a"), F.col("head").alias("b")).distinct())
+    blocks = components(prefix.join(heads, "t").where("sig <> head").select(F.col("sig").alias("a"), F.col("head").alias("b")).distinct(), small_edges)
 
     members = sets.join(blocks, sets["sig"] == blocks["node"]).select("root", "sig", "n", "shingles")
     weights = blocks.join(sets.select("sig", "n"), blocks["node"] == F.col("sig")).groupBy("root").agg(F.sum("n").alias("w"))
@@ -419,7 +445,7 @@ def link_components(docs: DataFrame, n: int = WORDS, bucket_bytes: int = BUCKET_
     links = _search_blocks(small.select("task", "root", "sig", "shingles"))
     if (total[1] or 0) > block_tokens:
         links = links.unionByName(_search_large(materialize(members.where(F.col("w") > block_tokens).select("root", "sig", "n", "shingles")), max(1, block_tokens // 2)))
-    roots = components(links).select(F.col("node").alias("sig"), "root")
+    roots = components(links, small_edges).select(F.col("node").alias("sig"), "root")
 
     classed = named.join(roots, "sig", "left").withColumn("class", F.coalesce("root", "sig"))
     least = named.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("d"), F.count("*").alias("class_size")).join(roots, "sig", "left")

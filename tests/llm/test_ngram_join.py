@@ -61,7 +61,7 @@ def corpus(seed, groups=8, copies=8):
     return rows + [(i, "A b"), (i + 1, "a  B"), (i + 2, "a"), (i + 3, " "), (i + 4, ""), (i + 5, None), (i + 6, None), (7, "a B"), (7, "a b c d e")]
 
 
-@pytest.mark.parametrize("seed, kw", [(1, {}), (2, {"block_tokens": 100}), (3, {"bucket_bytes": 400, "block_tokens": 60})])
+@pytest.mark.parametrize("seed, kw", [(1, {}), (2, {"block_tokens": 100}), (3, {"bucket_bytes": 400, "block_tokens": 60, "small_edges": 0})])
 def test_matches_all_pairs(spark, seed, kw):
     rows = corpus(seed)
     assert run(spark, rows, **kw) == brute(rows)
