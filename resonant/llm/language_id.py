@@ -233,7 +233,9 @@ def predict(docs: DataFrame, model: PPMModel, text: str = "text", keep: tuple[st
 
 
 def _has_letter(data: np.ndarray) -> bool:
-    return bool(_LETTER.search(data.tobytes().decode("utf-8", "ignore")))
+    """Whether the bytes hold a character of a letter category; the pattern also finds numerals such as a superscript two."""
+    text = data.tobytes().decode("utf-8", "ignore")
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -34,8 +34,8 @@ PIVOTS = 32
 SAMPLE_ROWS = 4096
 QUERY_BLOCK = 8192
 RING_ROWS = 256
-#: Scaled components beyond this take no part in integer arithmetic; such vectors are refused as non-finite ones are.
-LARGEST = 1 << 24
+#: Vectors with a scaled component beyond this are refused as non-finite ones are: their scores need not fit a long.
+LARGEST = 1 << 28
 
 
 def scaled(vectors: DataFrame, factor: int = 64) -> DataFrame:
@@ -47,7 +47,7 @@ def scaled(vectors: DataFrame, factor: int = 64) -> DataFrame:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """The list column as a float64 matrix, padded by zeros. Sums of products stay below 2**53 for any dim under 32, and are checked above."""
+    """The list column as a float64 matrix, padded by zeros; products() takes care of sums that floats can't hold."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
     sizes = np.diff(column.offsets.to_numpy(zero_copy_only=False))
     if len(sizes) and (sizes == dim).all():

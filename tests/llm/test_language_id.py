@@ -72,7 +72,7 @@ def test_labels_of_held_out_rows_are_not_used(spark):
 def test_odd_texts_and_tables(spark):
     model = L.train({"de": [b"der die das und ist"], "en": [b"the of and is to"]})
     long = "the and of " * 120_000
-    rows = [(1, None), (2, ""), (3, "123 !?"), (4, "the"), (4, "the"), (5, "1" * 100 + "é"), (None, "und die"), (6, long)]
+    rows = [(1, None), (2, ""), (3, "123 !? ² ½"), (4, "the"), (4, "the"), (5, "1" * 100 + "é"), (None, "und die"), (6, long)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit("y"))
     got = sorted(((r.doc_id or 0, r.lang_pred) for r in L.identify(df, model).collect()))
     assert got[:4] == [(0, "de"), (1, "und"), (2, "und"), (3, "und")] and got[4:6] == [(4, "en"), (4, "en")] and got[6][1] != "und" and got[7] == (6, "en")

@@ -35,7 +35,7 @@ def test_matches_brute_force(spark, kw):
 
 
 def test_odd_vectors(spark):
-    rows = [(0, [1.0, 2.0]), (0, [1.0, -2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]), (5, [3.0]), (6, [-0.001, 0.0]), (7, []), (8, [1e5, 1e5]), (8, [1e5, 1e5])]
+    rows = [(0, [1.0, 2.0]), (0, [1.0, -2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]), (5, [3.0]), (6, [-0.001, 0.0]), (7, []), (8, [1e5, 1e5]), (8, [1e5, 1e5]), (9, [4e6, -3999999.25]), (12, [-3.9e6, 4.1e6])]
     assert run(spark, rows, 20, 4) == brute(rows, 20, 4)
 
 
