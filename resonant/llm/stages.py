@@ -13,17 +13,19 @@ from resonant.llm import best_fit_packing, decontamination, language_id, line_de
 from resonant.llm.common import table
 from resonant.llm.queries import tokenizer_paths
 
-#: Bits a byte from which on a text is no text of a learned language: the cost of a byte that no context predicts.
-MOST_BITS_PER_BYTE = 8.0
+#: Bits by which eight bits a byte must beat the best language's code, for the text to be in no learned language. Short texts
+#: can't show that much, so they stay.
+EVIDENCE_BITS = 64.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those that the best language predicts no better than chance; others get the
+    """Rejects documents without a letter and those that the best language predicts clearly worse than chance; others get the
     predicted language if they have none."""
     model = language_id.fit(docs)
     names = ("__lid_lang", "__lid_score", "__lid_bits")
     found = language_id.predict(docs, model, keep=tuple(docs.columns), names=names)  # the text column goes in twice, once to be read
-    kept = found.where((F.col(names[0]) != language_id.UNDETERMINED) & (F.col(names[2]) < MOST_BITS_PER_BYTE))
+    excess = (F.col(names[2]) - 8.0) * F.octet_length("text")
+    kept = found.where((F.col(names[0]) != language_id.UNDETERMINED) & (excess < EVIDENCE_BITS))
     return kept.withColumn("lang", F.coalesce("lang", names[0])).select(*docs.columns)
 
 

@@ -18,6 +18,9 @@ def test_stages_one_after_the_other(spark):
     extra = spark.createDataFrame([(9001, "12345 67 !!", None, "src1", 11), (9002, None, None, "src1", None), (9003, "ЖЩЮЯ ДЛФ ЪЫЭ " * 30, None, "src1", 9)], docs.schema)
     seen = docs.unionByName(extra)
     columns = docs.columns
+    short = spark.createDataFrame([(9004, "Zq.", None, "src1", 3), (9005, "Ö", "de", "src2", 1)], docs.schema)
+    kept = stages.identify_language(spark, seen.unionByName(short), DATA)
+    assert {9004, 9005} < {r.doc_id for r in kept.collect()}
     kept = stages.identify_language(spark, seen, DATA)
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == columns and ids == {r.doc_id for r in docs.collect()}
