@@ -3,8 +3,13 @@
 Every page scores its own containers: a container gains the text of the blocks it holds, less what is link text, and
 half of what its child containers gain. The page votes for its best container's generalised path: tags from the root
 on, each with its classes, digits made #. Votes are summed per host in Spark, pre-aggregated by batch. Pages are then
-extracted again from the host's winning paths, so a page with little text of its own, or with a long advert, follows
-its host's template; a page that has none of them uses its own best container.
+extracted again from the host's winning paths, so a page with little text of its own, or with a long advert, a page that has none of them uses its own best container.
+
+What is extracted is the whole article that such a container is part of: the article element around it, else the main
+element; where there is neither, the lowest ancestor below the body whose other text is not mostly link text. Text that
+lies right in the ancestors above (up to main for an article element, to the body else), outside their other
+containers, goes with it unless it is mostly link text. Captions, formulas, text of drawings and the content of objects
+are text.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by element name,
 by words of their class or id, and by hidden markers. Character references are decoded, white space becomes one space,
@@ -37,10 +42,11 @@ WIN_SHARE = 0.5
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noframes", "xmp", "svg", "math", "object"}
+_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noframes", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
+    "math", "mfenced", "mfrac", "mi", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "munderover", "semantics",
 }
 _CONTAINERS = {"article", "main", "section", "div", "td", "body"}
 _CLOSES_P = {
@@ -48,7 +54,7 @@ _CLOSES_P = {
 }
 _SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 _SCOPES = {"table", "ul", "ol", "dl", "article", "section", "main", "body", "html", "div", "td", "th"}
-_LEFT_OUT = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "audio", "video", "canvas", "figcaption", "fieldset"}
+_LEFT_OUT = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "audio", "video", "canvas", "fieldset", "annotation", "annotation-xml", "defs", "desc", "metadata"}
 _LEFT_OUT_WORDS = re.compile(
     r"(?<![a-z])(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|sidebar|side-?bar|widget|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|"
     r"header|masthead|footer|comments?|commentlist|disqus|replies|reactions|respond|share|sharing|social|related|recommend\w*|toolbar|login|search-?form)(?![a-z])",
@@ -69,6 +75,10 @@ class Node:
     last: int = 0
     own: float = 0.0
     gain: float = 0.0
+    #: links: its blocks' link text less their other text. all_own and all_links count the containers in it too.
+    links: float = 0.0
+    all_own: float = 0.0
+    all_links: float = 0.0
 
 
 @dataclass(slots=True)
@@ -78,17 +88,60 @@ class Page:
 
     def text(self, nodes: list[Node]) -> str:
         """White space made one space, ends trimmed, of these containers in page order, none twice."""
+        return self._joined([(node.first, node.last) for node in nodes])
+
+    def _joined(self, spans: list[tuple[int, int]]) -> str:
         out, at = [], 0
-        for node in nodes:
-            out += [*self.pieces[max(at, node.first) : node.last], " "]
-            at = max(at, node.last)
+        for first, last in sorted(spans):
+            out += [*self.pieces[max(at, first) : last], " "]
+            at = max(at, last)
         return " ".join("".join(out).split())
 
+    def article(self, nodes: list[Node]) -> str:
+        """The text of the articles that these containers are part of, in page order, none twice."""
+        inside: dict[int, list[Node]] = {}
+        for c in self.containers:
+            inside.setdefault(id(c.outer), []).append(c)
+        spans, seen = [], set()
+        for node in nodes:
+            top = _enclosing(node)
+            spans.append((top.first, top.last))
+            up = top.outer if top.tag != "main" and (top.tag != "article" or _above(top, "main")) else None
+            while up is not None and id(up) not in seen:
+                seen.add(id(up))
+                if up.own > up.links:
+                    at = up.first
+                    for c in inside.get(id(up), ()):
+                        spans.append((at, c.first))
+                        at = c.last
+                    spans.append((at, up.last))
+                up = up.outer if up.tag != "main" else None
+        return self._joined(spans)
+
     def best(self) -> Node | None:
         """The container with the largest score; of equal ones the path that sorts first."""
         return min((c for c in self.containers if c.gain > 0), key=lambda c: (-c.gain, c.path), default=None)
 
 
+def _above(node: Node, tag: str) -> Node | None:
+    """The nearest container of this tag from here on up."""
+    while node is not None and node.tag != tag:
+        node = node.outer
+    return node
+
+
+def _enclosing(node: Node) -> Node:
+    """The container that holds the whole article: see the module's text."""
+    if named := _above(node, "article") or _above(node, "main"):
+        return named
+    up = node.outer
+    while up is not None and up.tag not in ("body", ""):
+        if up.all_own - node.all_own > up.all_links - node.all_links:
+            return up
+        up = up.outer
+    return node
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
 
@@ -116,22 +169,25 @@ def parse(page: str | None) -> Page:
     root = Node("", "", False, None)
     root.container = root
     stack, out.containers = [root], [root]
-    links = 0
+    links = foreign = 0
     block = [0, 0]  # characters of the open block that are not link text, and those that are
 
     def close_block() -> None:
         if block[0] > block[1]:
             stack[-1].container.own += block[0] - block[1]
+        else:
+            stack[-1].container.links += block[1] - block[0]
         block[:] = [0, 0]
         out.pieces.append(" ")
 
     def pop_to(k: int) -> None:
-        nonlocal links
+        nonlocal links, foreign
         while len(stack) > k:
             node = stack[-1]
             if node.tag not in _INLINE:
                 close_block()
             links -= node.tag == "a"
+            foreign -= node.tag in ("svg", "math")
             node.last = len(out.pieces)
             stack.pop()
 
@@ -155,6 +211,8 @@ def parse(page: str | None) -> Page:
             if k:
                 pop_to(k)
             continue
+        if (foreign or tag in ("svg", "math")) and (m[3] or m[6] or "").endswith("/"):
+            continue
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(page, at)
             close = page.find(">", end.start()) if end else -1
@@ -182,24 +240,29 @@ def parse(page: str | None) -> Page:
             out.containers.append(node)
         stack.append(node)
         links += tag == "a"
+        foreign += tag in ("svg", "math")
     pop_to(1)
     close_block()
     root.last = len(out.pieces)
     for node in reversed(out.containers):
         node.gain += node.own
+        node.all_own += node.own
+        node.all_links += node.links
         if node.outer is not None:
             node.outer.gain += node.gain / 2
+            node.outer.all_own += node.all_own
+            node.outer.all_links += node.all_links
     return out
 
 
 def extract(page: str | None, paths: list[str] | None) -> str:
-    """The text of the first of these paths that the page has, else of its own best container."""
+    """The text of the article at the first of these paths that the page has, else at its own best container."""
     parsed = parse(page)
     for path in paths or ():
         if nodes := [c for c in parsed.containers if c.path == path]:
-            return parsed.text(nodes)
+            return parsed.article(nodes)
     best = parsed.best()
-    return parsed.text([best]) if best else ""
+    return parsed.article([best]) if best else ""
 
 
 def host_of(url: Column) -> Column:

@@ -64,3 +64,33 @@ def test_testdata_articles(spark):
         inner = re.sub(r"</?b>", "", article)
         want = " ".join(lib.unescape(re.sub(r"<[a-zA-Z/!][^>]*(>|\Z)", " ", inner)).split())
         assert got[r.page_id] == want
+
+
+def nested(n):
+    return f"<html><body><nav><a href='/'>Home</a></nav><article><h1>Title {n}</h1><p>{'lead ' * 20}</p><div class='body'><p>{'word ' * 200}</p></div></article><div class='teaser'><p>Other text</p></div></body></html>"
+
+
+def test_article_around_the_winning_block_is_whole(spark):
+    rows = [(i, f"http://nested.example/{i}", nested(i)) for i in range(4)]
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join([f"Title {i}", *["lead"] * 20, *["word"] * 200]) for i in range(4)}
+
+
+LONG = "word " * 100
+WORDS = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<main><h1>T</h1><article><section class='a'><p>{LONG}</section><section class='b'><p>rest</section></article></main>", f"T {WORDS} rest"),
+        (f"<body><div class='post'><div class='t'><h1>T</h1></div><div class='in'><div class='text'><p>{LONG}</div></div></div><div class='teaser'><p>no</div></body>", f"T {WORDS}"),
+        (f"<body><h1>T</h1><div class='w'><div class='text'><p>{LONG}</div><div class='more'><a href=x>a link</a></div></div><div class='teaser'><p>no</div></body>", f"T {WORDS}"),
+        (f"<body><p><a href=x>only links</a></p><div class='text'><p>{LONG}</div></body>", WORDS),
+        (f"<article><p>{LONG}<figure><img src=x><figcaption>A caption</figcaption></figure></article>", f"{WORDS} A caption"),
+        (f"<article><p>{LONG}<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation>E=mc^2</annotation></semantics></math> holds</article>", f"{WORDS} E=mc2 holds"),
+        (f"<article><p>{LONG}<svg><title/><defs/><path d='M0 0'/><text>axis</text></svg><object data=x><p>instead</p></object>end</article>", f"{WORDS} axis instead end"),
+    ],
+)
+def test_nothing_of_an_article_is_left_out(html, want):
+    assert H.extract(html, None) == want
