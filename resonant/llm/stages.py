@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resonant.llm import best_fit_packing, decontamination, language_id, line_dedup, ngram_join
-from resonant.llm.common import table
+from resonant.llm.common import materialize, table
 from resonant.llm.queries import tokenizer_paths
 
 #: Bits by which eight bits a byte must beat the best language's code, for the text to be in no learned language. Short texts
@@ -36,10 +36,14 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near duplicates; documents without an id all stay, and so do
-    documents without words, which are linked with nothing."""
-    linked = ngram_join.link_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(linked, docs["doc_id"] == F.col("__gone"), "left_anti").select(*docs.columns)
+    """Keeps one row of each component of near duplicates: of those with the smallest id any one, and one without an id only
+    where no row has one. Repeated rows and rows that share an id are told apart by a key of their own. Documents without words
+    are linked with nothing and stay."""
+    tagged = materialize(docs.withColumn("__key", F.monotonically_increasing_id()))
+    linked = ngram_join.link_components(tagged.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = linked.join(tagged.select("__key", "doc_id"), F.col("__row") == F.col("__key"))
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("first"))
+    return tagged.join(first.select(F.col("first.__key").alias("__kept")), F.col("__key") == F.col("__kept"), "left_semi").select(*docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,12 @@ def test_empty_corpus(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA)
     assert docs.count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = ("".join(f"{w}{i} " for i in range(40)) for w in "abc")
+    rows = [(1, a), (1, a), (2, a), (None, a), (2, b), (None, c), (None, c), (4, None), (4, None), (None, " ")]
+    docs = spark.createDataFrame([(i, t, None, "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = stages.one_of_each_group(spark, docs, DATA)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (None, c), (4, None), (4, None), (None, " ")], key=repr) and kept.columns == docs.columns
