@@ -177,8 +177,9 @@ def sample_texts(
     labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 400, bytes_per_language: int = 1_500_000
 ) -> dict[str, list[bytes]]:
     """The bounded training sample: of each language the texts with the smallest hashes, whole, until the byte bound is met."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) <= bytes_per_language)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # copies pass or fail the threshold together, so distinct texts count
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n")).collect()}
     if not sizes:
         return {}
     # a hash threshold for each language that leaves about twice the bound, so that ranking sees a bounded number of rows
@@ -187,7 +188,7 @@ def sample_texts(
     picked = rows.where(part < share[F.col("lang")]).select("lang", "text", F.xxhash64("text", F.lit(1)).alias("h"), F.octet_length("text").alias("b"))
     out: dict[str, list[bytes]] = {k: [] for k in sizes}
     took: dict[str, list[int]] = {k: [0, 0] for k in sizes}
-    local = picked.where(F.col("b") <= bytes_per_language).dropDuplicates(["lang", "h"]).orderBy("lang", "h")
+    local = picked.dropDuplicates(["lang", "h"]).orderBy("lang", "h")
     for r in local.toLocalIterator():
         n, size = took[r["lang"]]
         if n < docs_per_language and size + r["b"] <= bytes_per_language:

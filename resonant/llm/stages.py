@@ -20,8 +20,10 @@ EVIDENCE_BITS = 64.0
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those that the best language predicts clearly worse than chance; others get the
-    predicted language if they have none."""
+    predicted language if they have none. Where no language can be learned, all documents with a letter stay as they are."""
     model = language_id.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     names = ("__lid_lang", "__lid_score", "__lid_bits")
     found = language_id.predict(docs, model, keep=tuple(docs.columns), names=names)  # the text column goes in twice, once to be read
     excess = (F.col(names[2]) - 8.0) * F.octet_length("text")

@@ -171,10 +171,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _sample(rows: DataFrame, n: int, most: int) -> list[str]:
-    """Up to most distinct texts of about n rows, those with the smallest hashes."""
+def _sample(rows: DataFrame, most: int) -> list[str]:
+    """Up to most distinct texts, those with the smallest hashes; rows have text and its hash, h0."""
+    # copies pass or fail the threshold together, so distinct texts count
+    n = rows.agg(F.countDistinct("h0")).first()[0]
     keep = min(1_000_000, 1 + int(1.5e6 * most / max(n, 1)))
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < keep).where(F.octet_length("text") <= MAX_SAMPLE_BYTES)
+    picked = rows.where(F.pmod("h0", F.lit(1_000_000)) < keep)
     first = picked.groupBy(F.xxhash64("text", F.lit(1)).alias("h")).agg(F.first("text").alias("text")).orderBy("h").limit(most)
     return [r["text"] for r in first.collect()]
 
@@ -183,13 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_posi
     """The classifier learned from the rows that are not held out. Without a prior it is the toxic share of the labelled ones."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = known.agg(F.count("toxic").alias("n"), F.count_if(F.col("toxic") == 1).alias("p")).first()
-    texts = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("doc_id", "text")
+    texts = docs.where(~held_out(F.col("doc_id")) & (F.octet_length("text") <= MAX_SAMPLE_BYTES)).select("doc_id", "text", F.xxhash64("text").alias("h0"))
     toxic = known.where(F.col("toxic") == 1).select("doc_id")
     if not counts["p"]:
         return fit_nnpu([], [], 0.0)
-    pos = _sample(texts.join(toxic, "doc_id", "left_semi"), counts["p"], max_positive)
+    pos = _sample(texts.join(toxic, "doc_id", "left_semi"), max_positive)
     # all rows, the confirmed ones among them: their toxic share is the prior
-    unl = _sample(texts, texts.count(), max_unlabelled)
+    unl = _sample(texts, max_unlabelled)
     p = prior if prior is not None else counts["p"] / max(counts["n"], 1)
     return fit_nnpu(pos, unl, p)
 

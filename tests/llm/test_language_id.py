@@ -87,3 +87,8 @@ def test_two_place_tables_find_every_key():
     assert (t.find(keys) == np.arange(len(keys))).all()
     absent = np.setdiff1d(np.arange(100_000, dtype=np.uint32), keys)
     assert (t.find(absent) == len(keys)).all()
+
+
+def test_a_language_of_many_copies_of_few_texts_is_learned(spark):
+    copies = spark.range(400_000).select(F.concat(F.lit("word "), (F.col("id") % 5).cast("string")).alias("text"), F.lit("xx").alias("lang"))
+    assert sorted(L.sample_texts(copies)["xx"]) == [f"word {i}".encode() for i in range(5)]

@@ -56,3 +56,9 @@ def test_one_row_of_each_group_stays(spark):
     kept = stages.one_of_each_group(spark, docs, DATA)
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
     assert got == sorted([(1, a), (2, b), (None, c), (4, None), (4, None), (None, " ")], key=repr) and kept.columns == docs.columns
+
+
+def test_without_languages_documents_with_letters_stay(spark):
+    rows = [(1, "Some words", None, "s", 10), (2, "12 34 !", None, "s", 7), (3, None, None, "s", None), (4, "7 Ж", None, "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in stages.identify_language(spark, docs, DATA).collect()) == [1, 4]

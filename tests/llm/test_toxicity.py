@@ -76,3 +76,11 @@ def test_odd_texts_and_tables(spark):
     assert {r.predicted for r in X.classify(docs, labels.withColumn("toxic", F.lit(0))).collect()} == {0}
     twice = labels.unionByName(labels.withColumn("toxic", F.lit(None).cast("int")))
     assert X.classify(docs, twice).count() == docs.count()
+
+
+def test_the_sample_counts_distinct_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(X, "fit_nnpu", lambda positive, unlabelled, prior: seen.append((sorted(positive), sorted(unlabelled))))
+    docs = spark.range(400_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), (F.col("id") % 5).cast("string")).alias("text"))
+    X.fit(docs, docs.select("doc_id", F.lit(1).alias("toxic")), max_positive=100, max_unlabelled=100)
+    assert seen == [([f"word {i}" for i in range(5)],) * 2]
