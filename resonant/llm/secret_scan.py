@@ -38,6 +38,9 @@ _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 
+_OPENSSH = b"openssh-key-v1\0"
+_AUTHENTICATING = {b"aes128-gcm@openssh.com", b"aes256-gcm@openssh.com", b"chacha20-poly1305@openssh.com"}
+
 SPAN_TYPE = "array<struct<kind:string,start:long,end:long>>"
 
 
@@ -70,33 +73,57 @@ def is_der(data: bytes) -> bool:
     top = _tlv(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False
-    todo, tags, seen = [(top[1], top[2], 0)], [], 0
+    todo, tags = [(top[1], top[2], True)], []
     while todo:
-        at, end, depth = todo.pop()
+        at, end, outermost = todo.pop()
         while at < end:
             part = _tlv(data, at, end)
-            seen += 1
-            if part is None or depth > 16 or seen > 4096:
+            if part is None:
                 return False
             tag, start, at = part
-            if not depth:
+            if outermost:
                 tags.append(tag)
             if tag & 0x20:
-                todo.append((start, at, depth + 1))
+                todo.append((start, at, False))
     return len(tags) >= 2 and (0x02 in tags or 0x30 in tags)
 
 
-def is_ssh_blob(data: bytes) -> bool:
-    """An OpenSSH private key file body or a public key blob: a known name, then length-prefixed fields that end exactly."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, names = 0, []
-    while at < len(data):
+def _fields(data: bytes, at: int = 0, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from this place on, all or so many, and where they end; None if one does not stay inside."""
+    out: list[bytes] = []
+    while at < len(data) if most is None else len(out) < most:
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
-            return False
-        names.append(data[at + 4 : at + 4 + n])
+            return None
+        out.append(data[at + 4 : at + 4 + n])
         at += 4 + n
+    return out, at
+
+
+def _is_openssh_key(data: bytes) -> bool:
+    """Cipher, key derivation and its options, a count, so many public keys and the private part, to the exact end; after the
+    private part an authenticating cipher has its tag of 16 bytes."""
+    head = _fields(data, len(_OPENSSH), 3)
+    if head is None:
+        return False
+    (cipher, kdf, options), at = head
+    count = int.from_bytes(data[at : at + 4], "big")
+    body = _fields(data, at + 4, count + 1) if count else None
+    if body is None or not cipher or not kdf or (kdf == b"none") != (cipher == b"none") or (kdf == b"none" and options):
+        return False
+    (*public, private), at = body
+    if any(len((_fields(key) or ([], 0))[0]) < 2 for key in public):
+        return False
+    if cipher == b"none" and (len(private) < 8 or private[:4] != private[4:8]):
+        return False
+    return bool(private) and len(data) - at == (16 if cipher in _AUTHENTICATING else 0)
+
+
+def is_ssh_blob(data: bytes) -> bool:
+    """An OpenSSH private key file body or a public key blob: a known name, then length-prefixed fields that end exactly."""
+    if data.startswith(_OPENSSH):
+        return _is_openssh_key(data)
+    names = (_fields(data) or ([], 0))[0]
     return len(names) >= 2 and bool(re.fullmatch(rb"(ssh|ecdsa)-[a-z0-9-]+", names[0]))
 
 

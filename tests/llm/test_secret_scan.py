@@ -84,3 +84,31 @@ def test_query_rows_nulls_clashes_and_empty(spark):
 
 def test_redact():
     assert S.redact("a password=abcdefghijkl b") == "a [SECRET] b" and S.redact(None) is None
+
+
+def field(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+def openssh(cipher=b"none", kdf=b"none", options=b"", check=bytes(range(4)) * 2, tag=b""):
+    return b"openssh-key-v1\0" + field(cipher) + field(kdf) + field(options) + (1).to_bytes(4, "big") + field(SSH) + field(check + SSH) + tag
+
+
+def test_openssh_keys_are_parsed_to_their_end():
+    gcm = openssh(b"aes256-gcm@openssh.com", b"bcrypt", field(b"s" * 16) + bytes(4), b"12345678", b"t" * 16)
+    for good in (openssh(), openssh(b"aes256-ctr", b"bcrypt", b"x", b"12345678"), gcm):
+        assert S.is_ssh_blob(good)
+        assert not any(S.is_ssh_blob(good[:n]) for n in range(len(good))) and not S.is_ssh_blob(good + b"x")
+    assert not S.is_ssh_blob(b"openssh-key-v1\0" + b"x" * 80) and not S.is_ssh_blob(openssh(check=b"12345678"))
+
+
+def test_long_and_deep_der():
+    wrap = lambda body: b"\x30\x84" + len(body).to_bytes(4, "big") + body if len(body) > 127 else bytes([0x30, len(body)]) + body
+    long = wrap(bytes([0x02, 0x01, 0x00]) + wrap(INTEGER * 10_000))
+    deep = INTEGER
+    for _ in range(500):
+        deep = wrap(deep)
+    deep = wrap(INTEGER + deep)
+    assert S.is_der(long) and S.is_der(deep) and not S.is_der(long[:-1]) and not S.is_der(deep + b"x")
+    pem = "-----BEGIN X509 CRL-----\n" + base64.encodebytes(long).decode() + "-----END X509 CRL-----"
+    assert ("pem", pem) in kinds(pem)
