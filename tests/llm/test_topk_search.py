@@ -16,7 +16,7 @@ def brute(rows, k, every):
         qv = min((v for i, v in ok if i == q))
         qv = np.array(qv + [0] * (dim - len(qv)), dtype=object)
         best = sorted(((-int((qv * v).sum()), i) for i, v in pad if i != q))[:k]
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+        out += [(q, r, i, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
 
@@ -34,6 +34,29 @@ def test_matches_brute_force(spark, kw):
     assert run(spark, rows, 7, 20, **kw) == brute(rows, 7, 20)
 
 
+@pytest.mark.parametrize("parts", [3, 32, 200])
+def test_any_number_of_partitions(spark, parts):
+    rng = np.random.default_rng(3)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(3000, 8)).tolist())] + [(3001, [5e6, *[1.0] * 7]), (3020, [-5e6, 1e30, *[0.5] * 6])]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = run(spark, rows, 20, 20, sample_rows=64)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute(rows, 20, 20)
+
+
+def test_scores_beyond_a_long_rank_exactly(spark):
+    big = float(2**40)
+    rows = [(0, [big, big]), (1, [big, 1.0]), (2, [big, 2.0]), (3, [-big, -1.0]), (4, [-big, -2.0]), (5, [3.4e38, 0.0]), (6, [1.0, 1.0])]
+    got = run(spark, rows, 20, 100)
+    assert [v for _, _, v, _ in got] == [5, 2, 1, 6, 3, 4]
+    assert [s for *_, s in got] == [2**63 - 1] * 3 + [2 * 2**46 * 64] + [-(2**63)] * 2
+    order = sorted([-(10**30), -(1 << 63) - 1, -(1 << 63), 5, (1 << 63) - 1, 1 << 63, 10**80], key=S.stored)
+    assert order == sorted(order)
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, -2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]), (5, [3.0]), (6, [-0.001, 0.0]), (7, []), (8, [1e5, 1e5]), (8, [1e5, 1e5]), (9, [4e6, -3999999.25]), (12, [-3.9e6, 4.1e6])]
     assert run(spark, rows, 20, 4) == brute(rows, 20, 4)
