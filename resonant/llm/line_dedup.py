@@ -2,16 +2,20 @@
 
 Documents are grouped by host (the source column of documents). A line's ratio is the number of the host's pages that
 contain it, divided by the number of the host's pages; lines whose ratio is above boilerplate_ratio are dropped from
-all pages of that host. Frequencies come from all rows: each page counts a line once, the counts are pre-aggregated
-before the shuffle and keyed by (host, 64-bit hash of the line), so a host with a third of all rows spreads over all
-tasks and no text is shuffled for counting; lines of equal hash count as equal. The lines above the ratio are few by
-arithmetic (at most lines per page / ratio for each host); their hashes are joined back per host, by broadcast if their
-measured number is small and by a shuffle join otherwise.
+all pages of that host. Rows of one host with the very same text are one page here: counted as many, a document with
+many copies would pass for boilerplate and lose all of its text, where telling copies apart is a near-duplicate
+operator's work. Frequencies come from all rows: the (host, line, page) triples are 64-bit hashes, made distinct by all
+three and then counted by (host, line) after pre-aggregation, so a host with a third of all rows, and a line on all of
+its pages, spread over all tasks, and no text is shuffled for counting; what has equal hashes counts as equal.
+
+The lines above the ratio are few by arithmetic (at most lines per page / ratio for each host). Their hashes are written
+once and joined back per host: by broadcast if their measured number is small; else by a shuffle join in which the hosts
+with a thousandth of all rows or more (so at most a thousand) are split into salted parts.
 
 Defined cases: lines are cut at \\n and compared after removing blanks at both ends; empty lines are never dropped; a
 null text stays null with 0 lines; a null host is a host of its own; a line must be on at least min_pages pages of the
-host, so that hosts of a few pages lose nothing by chance; repeated rows count as pages of their own; extra columns
-pass through apply_to(); an empty table gives an empty result.
+host, so that hosts of a few pages lose nothing by chance; extra columns pass through apply_to(), whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BOILERPLATE_RATIO = 0.08
+from resonant.llm.common import free_name, materialize
+
+BOILERPLATE_RATIO = 0.02
 MIN_PAGES = 3
 #: Boilerplate lines up to this many are broadcast (8 bytes each); above it the join shuffles.
 BROADCAST_LINES = 500_000
+#: A host with this share of all rows is split into so many parts in a shuffle join.
+HOT_SHARE, HOT_PARTS = 0.001, 64
 
 
 def _key(line: Column) -> Column:
@@ -33,10 +41,10 @@ def _key(line: Column) -> Column:
 
 def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """host, h (the line's hash), pages, host_pages of every line above the ratio."""
-    pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    lines = pages.select("host", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), _key))).alias("h")).where("h is not null")
-    counts = lines.groupBy("host", "h").agg(F.count("*").alias("pages"))
+    pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text")).withColumn("page", F.xxhash64("text"))
+    totals = pages.groupBy("host").agg(F.countDistinct("page").alias("host_pages"))
+    lines = pages.select("host", "page", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), _key))).alias("h")).where("h is not null")
+    counts = lines.groupBy("host", "h").agg(F.countDistinct("page").alias("pages"))
     return (
         counts.where(F.col("pages") >= min_pages)
         .join(totals.withColumnRenamed("host", "h2"), F.col("host").eqNullSafe(F.col("h2")))
@@ -45,22 +53,43 @@ def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio
     )
 
 
-def apply_to(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
+def _with_lines(docs: DataFrame, lines: DataFrame, host: str, name: str, broadcast_lines: int) -> DataFrame:
+    """docs with the hashes of their host's lines, null where it has none."""
+    per_host = lines.groupBy("host").agg(F.collect_list("h").alias(name))
+    key, part = free_name(docs, "host_key"), free_name(docs, "host_part")
+    per_host = per_host.withColumnRenamed("host", key)
+    if lines.limit(broadcast_lines + 1).count() <= broadcast_lines:
+        return docs.join(F.broadcast(per_host), F.col(host).eqNullSafe(F.col(key)), "left").drop(key)
+    hot_key, hot = free_name(docs, "hot_host"), free_name(docs, "hot")
+    sizes = docs.groupBy(F.col(host).alias(hot_key)).agg(F.count("*").alias("n"))
+    hosts = materialize(sizes.where(F.col("n") >= HOT_SHARE * docs.count()).select(hot_key, F.lit(True).alias(hot)))
+    # the rows of a hot host go by their own values, so that a task that runs again deals them out as before
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    salt = lambda h: F.when(F.col(hot), h).otherwise(F.lit(0))
+    left = docs.join(F.broadcast(hosts), F.col(host).eqNullSafe(F.col(hot_key)), "left").withColumn(part, salt(F.pmod(F.xxhash64(*plain), F.lit(HOT_PARTS)).cast("int"))).drop(hot_key, hot)
+    every = F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))
+    own, own_part = free_name(docs, "own_host"), free_name(docs, "own_part")
+    right = per_host.join(F.broadcast(hosts), F.col(key).eqNullSafe(F.col(hot_key)), "left").select(
+        F.col(key).alias(own), name, F.explode(F.when(F.col(hot), every).otherwise(F.array(F.lit(0)))).alias(own_part)
+    )
+    return left.join(right, F.col(host).eqNullSafe(F.col(own)) & (F.col(part) == F.col(own_part)), "left").drop(own, own_part, part)
+
+
+def apply_to(
+    docs: DataFrame, text: str = "text", host: str = "source", ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES, counts: bool = True, broadcast_lines: int = BROADCAST_LINES
+) -> DataFrame:
     """All columns of docs with the text cleaned, plus n_lines and n_dropped where counts are wanted."""
-    lines = boilerplate(docs, text, host, ratio, min_pages)
-    per_host = lines.groupBy("host").agg(F.collect_list("h").alias("__lines")).withColumnRenamed("host", "__host")
-    few = lines.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    joined = docs.join(F.broadcast(per_host) if few else per_host, F.col(host).eqNullSafe(F.col("__host")), "left")
-    kept = F.filter("__split", lambda x: ~F.coalesce(F.array_contains("__drop", _key(x)), F.lit(False)))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size("__split"))
-    out = joined.withColumn("__split", F.split(text, "\n", -1)).withColumn("__drop", F.coalesce("__lines", F.array().cast("array<long>"))).withColumn("__kept", kept)
+    lines = materialize(boilerplate(docs, text, host, ratio, min_pages))
+    own, split, drop = (free_name(docs, x) for x in ("own_lines", "split_lines", "drop_lines"))
+    joined = _with_lines(docs, lines, host, own, broadcast_lines)
+    keys = F.transform(split, _key)
+    out = joined.withColumn(split, F.split(text, "\n", -1)).withColumn(drop, F.when(F.col(own).isNotNull(), F.array_intersect(keys, own)))
+    kept = F.when(F.size(drop) > 0, F.filter(split, lambda x: ~F.coalesce(F.array_contains(drop, _key(x)), F.lit(False)))).otherwise(F.col(split))
+    out = out.withColumn(own, kept)
     if counts:
-        n_kept = F.when(F.col(text).isNull(), 0).otherwise(F.size("__kept"))
-        out = out.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": (n_lines - n_kept).cast("long")})
-    return (
-        out.withColumn(text, F.array_join("__kept", "\n"))
-        .drop("__lines", "__host", "__split", "__drop", "__kept")
-    )
+        size = lambda c: F.when(F.col(text).isNull(), 0).otherwise(F.size(c))
+        out = out.withColumns({"n_lines": size(split).cast("long"), "n_dropped": (size(split) - size(own)).cast("long")})
+    return out.withColumn(text, F.array_join(own, "\n")).drop(own, split, drop)
 
 
 def result(docs: DataFrame) -> DataFrame:
@@ -69,7 +98,7 @@ def result(docs: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-WITH pages AS (SELECT doc_id, source AS host, text, row_number() OVER () AS page FROM documents),
+WITH pages AS (SELECT host, text, row_number() OVER () AS page FROM (SELECT DISTINCT source AS host, text FROM documents)),
 totals AS (SELECT host, count(*) AS host_pages FROM pages GROUP BY host),
 split_lines AS (SELECT page, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM pages),
 counts AS (SELECT host, trim(line) AS key, count(DISTINCT page) AS pages FROM split_lines WHERE trim(line) <> '' GROUP BY 1, 2),
@@ -82,7 +111,7 @@ marked AS (
 cleaned AS (
   SELECT page, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped
   FROM marked GROUP BY page)
-SELECT p.doc_id, CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(c.text, '') END AS text,
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.text, '') END AS text,
        CAST(coalesce(c.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(c.n_dropped, 0) AS BIGINT) AS n_dropped
-FROM pages p LEFT JOIN cleaned c USING (page)
+FROM documents d JOIN pages p ON d.source IS NOT DISTINCT FROM p.host AND d.text IS NOT DISTINCT FROM p.text LEFT JOIN cleaned c USING (page)
 """

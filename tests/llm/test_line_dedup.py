@@ -24,14 +24,29 @@ def test_ratio_is_per_site(spark):
 
 
 def test_ratio_must_be_exceeded_and_pages_count_once(spark):
-    rows = [(i, "a", "l\nl\nl" if i < 5 else f"p{i}") for i in range(10)]
+    rows = [(i, "a", f"l\nl\nl\nq{i}" if i < 5 else f"p{i}") for i in range(10)]
     at = lambda ratio: texts(line_dedup.apply_to(spark.createDataFrame(rows, SHAPE), ratio=ratio))[0][0]
-    assert at(0.5) == "l\nl\nl" and at(0.49) == ""
+    assert at(0.5) == "l\nl\nl\nq0" and at(0.49) == "q0"
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    rows = [(i, "a", "one\ntwo") for i in range(50)] + [(100 + i, "a", f"menu\nown {i}") for i in range(4)]
+    got = texts(line_dedup.result(spark.createDataFrame(rows, SHAPE)))
+    assert got[0] == ("one\ntwo", 2, 0) and got[100] == ("own 0", 2, 1)
+
+
+def test_join_gives_the_same_above_the_broadcast_bound(spark):
+    rows = [(i, ["a", "b", None][i % 3], f"menu {i % 3}\nbody {i}\nmenu {i % 3}" if i % 4 else None) for i in range(120)] + [(500 + i, f"h{i}", "menu 0\nx") for i in range(30)]
+    df = spark.createDataFrame(rows, SHAPE).withColumn("own_lines", F.lit(1)).withColumn("Split_Lines", F.lit("s")).withColumn("hot", F.lit(2)).withColumn("host_key", F.create_map(F.lit(1), F.lit(2)))
+    small, large = (line_dedup.apply_to(df, broadcast_lines=n) for n in (10**6, 0))
+    assert small.columns == large.columns and set(df.columns) < set(small.columns)
+    assert sorted(map(repr, small.collect())) == sorted(map(repr, large.collect()))
+    assert texts(small)[1] == ("body 1", 3, 2) and texts(small)[500] == ("menu 0\nx", 2, 0)
 
 
 def test_nulls_blank_lines_repeats_long_texts_and_clashes(spark):
     long = "\n".join(f"line {i}" for i in range(50_000))
-    rows = [(1, None, "m\n\n  \nx"), (2, None, "m\ny"), (2, None, "m\ny"), (3, None, None), (4, "z", ""), (5, "z", long), (None, "z", "q")]
+    rows = [(1, None, "m\n\n  \nx"), (2, None, "m\ny"), (2, None, "m\ny"), (6, None, "m\nw"), (3, None, None), (4, "z", ""), (5, "z", long), (None, "z", "q")]
     df = spark.createDataFrame(rows, SHAPE).withColumn("line", F.lit(1)).withColumn("host", F.lit(2)).withColumn("pages", F.lit(3))
     got = texts(line_dedup.result(df))
     assert got[1] == ("\n  \nx", 4, 1) and got[2] == ("y", 2, 1) and got[3] == (None, 0, 0) and got[4] == ("", 1, 0) and got[5] == (long, 50_000, 0) and got[None][0] == "q"
