@@ -1,13 +1,22 @@
 """Secret scanning with structural confirmation.
 
 Candidates of three textual kinds are found first. Then encoded material is decoded and its structure parsed before
-it is reported: PEM and bare base64/hex DER (nested tag-length-value lengths must add up), OpenSSH key blobs (length
-prefixed fields), and signed tokens (a JSON header with "alg" and a JSON payload). A candidate that doesn't decode or
-parse is not reported under these kinds.
-
-Defined cases: a null or empty text has no spans; offsets are code points, ends exclusive; repeated rows are scanned
-each for itself; extra columns pass through scan() untouched and win no name clash (the new columns replace columns of
-the same name); an empty table gives an empty result.
+it is reported:
+
+* pem: an armoured private key. Its body is one of the key layouts below, or, under the headers of a legacy encrypted
+  key, whole cipher blocks for the named cipher with an initial value of its length.
+* der: bare base64 or hex of a private key: PKCS#1, SEC1 and DSA by version and integers, PKCS#8 by version, algorithm
+  and the key inside, encrypted PKCS#8 by its password scheme, PKCS#12 by version and content type. Every nested length
+  must add up; certificates, signatures, public keys and other sequences are no secrets.
+* ssh: an OpenSSH private key, all of its length-prefixed fields to the exact end.
+* jwt: a token whose header is a JSON object with "alg" and whose payload is a JSON object; the signature is base64url.
+
+A candidate that doesn't decode or parse is not reported under these kinds.
+
+Defined cases: a null or empty text has no spans; offsets are code points, ends exclusive; candidates are decoded and
+parsed whole, however long or deep they are; spans of several kinds at one place are all reported, by start, then kind,
+then end; repeated rows are scanned each for itself; scan() returns the kept columns and spans, whatever else the table
+has; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from resonant.llm.common import releasing
+
 #: Kinds in the order in which spans at one start are listed: the base kinds, then the confirmed ones.
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
 
@@ -33,7 +44,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _ACCESS_LEAST = 18
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:\s*[A-Z][A-Za-z-]+: [^\r\n]*)*)([A-Za-z0-9+/=\s]+?)-----END \1-----")
+_DEK = re.compile(r"DEK-Info: ([A-Z0-9-]+),([0-9A-Fa-f]+)\s*$", re.MULTILINE)
+# Block sizes of the ciphers of legacy encrypted keys, by the first part of the name.
+_CIPHER_BLOCK = {"DES": 8, "RC2": 8, "BF": 8, "CAST5": 8, "IDEA": 8, "AES": 16, "CAMELLIA": 16, "ARIA": 16, "SEED": 16}
+# Object identifiers as their DER content.
+_RSA, _RSA_PSS = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a864886f70d01010a")
+_DSA, _EC = bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a8648ce3d0201")
+_EDWARDS = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}
+_PASSWORD_SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+_PFX_CONTENT = (bytes.fromhex("2a864886f70d010701"), bytes.fromhex("2a864886f70d010702"))
+_INTEGER, _OCTETS, _OID, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
@@ -69,23 +90,92 @@ def _tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
 
 
 def is_der(data: bytes) -> bool:
-    """A DER sequence that fills the data, with at least two elements, one an integer or a sequence, and every nested length exact."""
+    """One DER sequence that fills the data, every nested length exact."""
     top = _tlv(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
+    if top is None or top[0] != _SEQUENCE or top[2] != len(data):
         return False
-    todo, tags = [(top[1], top[2], True)], []
+    todo = [(top[1], top[2])]
     while todo:
-        at, end, outermost = todo.pop()
+        at, end = todo.pop()
         while at < end:
             part = _tlv(data, at, end)
             if part is None:
                 return False
             tag, start, at = part
-            if outermost:
-                tags.append(tag)
             if tag & 0x20:
-                todo.append((start, at, False))
-    return len(tags) >= 2 and (0x02 in tags or 0x30 in tags)
+                todo.append((start, at))
+    return True
+
+
+def _parts(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[int, bytes]]:
+    """Tag and content of each element of a sequence's content; well-formed data only."""
+    out = []
+    end = len(data) if end is None else end
+    while at < end and (part := _tlv(data, at, end)):
+        out.append((part[0], data[part[1] : part[2]]))
+        at = part[2]
+    return out
+
+
+def _is_integer(part: tuple[int, bytes]) -> bool:
+    tag, body = part
+    return tag == _INTEGER and len(body) > 0 and not (len(body) > 1 and (body[0] == 0 and body[1] < 128 or body[0] == 255 and body[1] >= 128))
+
+
+def _inside(part: tuple[int, bytes]) -> list[tuple[int, bytes]]:
+    return _parts(part[1]) if part[0] == _SEQUENCE else []
+
+
+def _is_rsa(parts: list[tuple[int, bytes]]) -> bool:
+    """Version 0 and eight integers, or version 1 and further primes."""
+    if len(parts) < 9 or not all(map(_is_integer, parts[:9])):
+        return False
+    if parts[0][1] == b"\x00":
+        return len(parts) == 9
+    primes = _inside(parts[9]) if len(parts) == 10 and parts[0][1] == b"\x01" else []
+    return bool(primes) and all(len(p := _inside(x)) == 3 and all(map(_is_integer, p)) for x in primes)
+
+
+def _is_sec1(parts: list[tuple[int, bytes]]) -> bool:
+    """Version 1, the private number, then at most the curve and the public point."""
+    return len(parts) >= 2 and parts[0] == (_INTEGER, b"\x01") and parts[1][0] == _OCTETS and len(parts[1][1]) > 0 and [t for t, _ in parts[2:]] in ([], [0xA0], [0xA1], [0xA0, 0xA1])
+
+
+def _is_pkcs8(parts: list[tuple[int, bytes]]) -> bool:
+    """Version, algorithm, the key inside as its algorithm has it, then at most attributes and a public key."""
+    if len(parts) < 3 or parts[0] not in ((_INTEGER, b"\x00"), (_INTEGER, b"\x01")) or parts[2][0] != _OCTETS or any(t not in (0xA0, 0x81, 0xA1) for t, _ in parts[3:]):
+        return False
+    algorithm, key = _inside(parts[1]), parts[2][1]
+    if not algorithm or len(algorithm) > 2 or algorithm[0][0] != _OID or not algorithm[0][1] or algorithm[0][1][-1] >= 128 or not key:
+        return False
+    oid, top = algorithm[0][1], _tlv(key, 0, len(key))
+    if oid in _EDWARDS:
+        return top is not None and top[0] == _OCTETS and top[2] == len(key) and top[2] - top[1] == _EDWARDS[oid]
+    if oid in (_RSA, _RSA_PSS, _EC):
+        return is_der(key) and (_is_sec1 if oid == _EC else _is_rsa)(_parts(key, top[1], top[2]))
+    if oid == _DSA:
+        return top is not None and top[2] == len(key) and _is_integer((top[0], key[top[1] : top[2]]))
+    return True
+
+
+def _is_encrypted_pkcs8(parts: list[tuple[int, bytes]]) -> bool:
+    algorithm = _inside(parts[0]) if len(parts) == 2 else []
+    return len(algorithm) == 2 and algorithm[0][0] == _OID and algorithm[0][1].startswith(_PASSWORD_SCHEMES) and algorithm[1][0] == _SEQUENCE and parts[1][0] == _OCTETS and len(parts[1][1]) > 0
+
+
+def _is_pfx(parts: list[tuple[int, bytes]]) -> bool:
+    content = _inside(parts[1]) if len(parts) in (2, 3) and parts[0] == (_INTEGER, b"\x03") else []
+    return len(content) == 2 and content[0][0] == _OID and content[0][1] in _PFX_CONTENT and content[1][0] == 0xA0 and all(t == _SEQUENCE for t, _ in parts[2:])
+
+
+def is_private_key(data: bytes) -> bool:
+    """A DER sequence laid out as a private key or a container of one."""
+    if not is_der(data):
+        return False
+    top = _tlv(data, 0, len(data))
+    parts = _parts(data, top[1], top[2])
+    dsa = len(parts) == 6 and all(map(_is_integer, parts)) and parts[0][1] == b"\x00"
+    return dsa or _is_rsa(parts) or _is_sec1(parts) or _is_pkcs8(parts) or _is_encrypted_pkcs8(parts) or _is_pfx(parts)
 
 
 def _fields(data: bytes, at: int = 0, most: int | None = None) -> tuple[list[bytes], int] | None:
@@ -120,27 +210,36 @@ def _is_openssh_key(data: bytes) -> bool:
 
 
 def is_ssh_blob(data: bytes) -> bool:
-    """An OpenSSH private key file body or a public key blob: a known name, then length-prefixed fields that end exactly."""
-    if data.startswith(_OPENSSH):
-        return _is_openssh_key(data)
-    names = (_fields(data) or ([], 0))[0]
-    return len(names) >= 2 and bool(re.fullmatch(rb"(ssh|ecdsa)-[a-z0-9-]+", names[0]))
+    """The body of an OpenSSH private key file."""
+    return data.startswith(_OPENSSH) and _is_openssh_key(data)
 
 
 def is_signed_token(text: str) -> bool:
-    """Three base64url parts of which the first is a JSON object with a string "alg" and the second a JSON object."""
+    """Three base64url parts of which the first is a JSON object with a string "alg" and the second a JSON object; only an
+    unsigned token has no third part."""
     parts = text.split(".")
     try:
         header, payload = (json.loads(_b64(p, url=True) or b"") for p in parts[:2])
     except (ValueError, UnicodeDecodeError, RecursionError):
         return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(payload, dict)
+    if not (isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(payload, dict)):
+        return False
+    return bool(_b64(parts[2], url=True)) != (header["alg"].lower() == "none")
 
 
 def _key_kind(data: bytes | None) -> str | None:
     if not data:
         return None
-    return "ssh" if is_ssh_blob(data) else "der" if is_der(data) else None
+    return "ssh" if is_ssh_blob(data) else "der" if is_private_key(data) else None
+
+
+def _is_armoured_key(headers: str, body: str) -> bool:
+    data = _b64(body)
+    if "Proc-Type: 4,ENCRYPTED" not in headers:
+        return _key_kind(data) is not None
+    dek = _DEK.search(headers)
+    block = _CIPHER_BLOCK.get(dek[1].split("-")[0]) if dek else None
+    return bool(data) and block is not None and len(data) % block == 0 and len(dek[2]) == 2 * block
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -151,7 +250,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= _ACCESS_LEAST]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if "-----BEGIN " in text:
-        found += [("pem", *m.span()) for m in _PEM.finditer(text) if _key_kind(_b64(m[2]))]
+        found += [("pem", *m.span()) for m in _PEM.finditer(text) if _is_armoured_key(m[2], m[3])]
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
     for m in _BASE64.finditer(text):
@@ -178,7 +277,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
     source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
     out = T.StructType([source.schema[c] for c in keep] + [T.StructField("spans", T._parse_datatype_string(SPAN_TYPE))])
-    return source.mapInArrow(_scan_batches, out)
+    return source.mapInArrow(releasing(_scan_batches), out)
 
 
 def redact(text: str | None, mask: str = "[SECRET]") -> str | None:

@@ -2,6 +2,7 @@
 
 import base64
 import json
+import random
 import re
 
 import pytest
@@ -17,8 +18,55 @@ def der(*parts):
     return head + body
 
 
-INTEGER = bytes([0x02, 0x20]) + bytes(range(32))
-KEY = der(bytes([0x02, 0x01, 0x00]), INTEGER, INTEGER)
+def number(n):
+    return bytes([0x02, n]) + bytes(range(1, n + 1))
+
+
+def element(tag, *parts):
+    return bytes([tag]) + der(*parts)[1:]
+
+
+def oid(text):
+    return element(0x06, bytes.fromhex(text))
+
+
+INTEGER = number(32)
+VERSION = [bytes([2, 1, v]) for v in range(4)]
+RSA = der(VERSION[0], *[number(30)] * 8)
+SEC1 = der(VERSION[1], element(4, bytes(range(32))), element(0xA0, oid("2a8648ce3d030107")))
+CURVE = der(oid("2a8648ce3d0201"), oid("2a8648ce3d030107"))
+PBES = der(oid("2a864886f70d01050d"), der(INTEGER))
+KEYS = {
+    "pkcs1": RSA,
+    "pkcs1 with more primes": der(VERSION[1], *[number(30)] * 8, der(der(*[number(20)] * 3))),
+    "dsa": der(VERSION[0], *[number(20)] * 5),
+    "sec1": SEC1,
+    "sec1 alone": der(VERSION[1], element(4, bytes(range(32)))),
+    "pkcs8 rsa": der(VERSION[0], der(oid("2a864886f70d010101"), b"\x05\x00"), element(4, RSA)),
+    "pkcs8 ec": der(VERSION[0], CURVE, element(4, SEC1)),
+    "pkcs8 ed25519": der(VERSION[1], der(oid("2b6570")), element(4, element(4, bytes(range(32)))), element(0x81, bytes(33))),
+    "pkcs8 dsa": der(VERSION[0], der(oid("2a8648ce380401"), der(INTEGER)), element(4, INTEGER)),
+    "pkcs8 of another algorithm": der(VERSION[0], der(oid("608648016503040311")), element(4, bytes(64))),
+    "encrypted pkcs8": der(PBES, element(4, bytes(64))),
+    "pkcs12": der(VERSION[3], der(oid("2a864886f70d010701"), element(0xA0, element(4, bytes(40))))),
+}
+NO_KEYS = {
+    "two integers": der(INTEGER, INTEGER),
+    "signature with version": der(VERSION[0], INTEGER, INTEGER),
+    "certificate": der(der(element(0xA0, VERSION[2]), INTEGER, der(oid("2a864886f70d01010b"), b"\x05\x00")), der(oid("2a864886f70d01010b"), b"\x05\x00"), element(3, bytes(33))),
+    "public key": der(CURVE, element(3, bytes(66))),
+    "rsa public key": der(number(64), number(3)),
+    "crl": der(VERSION[0], der(*[INTEGER] * 50)),
+    "eight integers": der(VERSION[0], *[number(30)] * 7),
+    "rsa of version 2": der(VERSION[2], *[number(30)] * 8),
+    "padded integer": der(VERSION[0], *[bytes([2, 30, 0, 0]) + bytes(28)] * 8),
+    "ec without key": der(VERSION[0], CURVE, element(4, b"")),
+    "ec with an rsa key": der(VERSION[0], CURVE, element(4, RSA)),
+    "short ed25519": der(VERSION[0], der(oid("2b6570")), element(4, element(4, bytes(31)))),
+    "other scheme": der(der(oid("2a864886f70d010101"), der(INTEGER)), element(4, bytes(64))),
+    "pkcs12 of version 2": der(VERSION[2], der(oid("2a864886f70d010701"), element(0xA0, element(4, bytes(40))))),
+}
+KEY = KEYS["pkcs8 ec"]
 SSH = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32))))
 
 
@@ -50,23 +98,120 @@ def test_base_spans_match_the_patterns(text):
     assert [s for s in S.find_spans(text) if s[0] in S.KINDS[:3]] == brute_base(text)
 
 
+def tree(data):
+    """Elements of DER data as (tag, children or content), by plain recursion; raises where a length is wrong."""
+    out = []
+    while data:
+        tag, n, head = data[0], data[1], 2
+        if n > 127:
+            k = n - 128
+            assert 1 <= k <= 4 and len(data) >= 2 + k
+            n, head = int.from_bytes(data[2 : 2 + k], "big"), 2 + k
+            assert n > 127
+        assert head + n <= len(data)
+        body = data[head : head + n]
+        out.append((tag, tree(body) if tag & 32 else body))
+        data = data[head + n :]
+    return out
+
+
+def plain_private_key(data):
+    """The layouts written out once more, on the whole tree."""
+    try:
+        top = tree(data)
+    except (AssertionError, IndexError):
+        return False
+    if len(top) != 1 or top[0][0] != 0x30:
+        return False
+
+    def integer(x):
+        return x[0] == 2 and x[1] != b"" and x[1] == (n := int.from_bytes(x[1], "big", signed=True)).to_bytes(max(1, (n if n >= 0 else ~n).bit_length() // 8 + 1), "big", signed=True)
+
+    def layout(x):
+        tags, value = [t for t, _ in x], lambda i: x[i][1]
+        if not x:
+            return None
+        if x[0] == (2, b"\0") and all(map(integer, x)) and len(x) in (6, 9):
+            return "dsa" if len(x) == 6 else "rsa"
+        if x[0] == (2, b"\1") and tags == [2] * 9 + [0x30] and all(map(integer, x[:9])) and value(9) and all(t == 0x30 and len(p) == 3 and all(map(integer, p)) for t, p in value(9)):
+            return "rsa"
+        if x[0] == (2, b"\1") and tags in ([2, 4], [2, 4, 0xA0], [2, 4, 0xA1], [2, 4, 0xA0, 0xA1]) and value(1):
+            return "ec"
+        if tags[:3] == [2, 0x30, 4] and value(0) in (b"\0", b"\1") and set(tags[3:]) <= {0xA0, 0xA1, 0x81} and value(1) and len(value(1)) < 3 and value(2):
+            kind, name = value(1)[0]
+            inner = {"2a864886f70d010101": "rsa", "2a864886f70d01010a": "rsa", "2a8648ce3d0201": "ec"}.get(bytes(name).hex() if kind == 6 else "")
+            if kind != 6 or not name or name[-1] > 127:
+                return None
+            try:
+                held = tree(value(2))
+            except (AssertionError, IndexError):
+                held = []
+            if inner:
+                return "pkcs8" if len(held) == 1 and held[0][0] == 0x30 and layout(held[0][1]) == inner else None
+            if size := {"2b656e": 32, "2b656f": 56, "2b6570": 32, "2b6571": 57}.get(name.hex()):
+                return "pkcs8" if len(held) == 1 and held[0][0] == 4 and len(held[0][1]) == size else None
+            return "pkcs8" if name.hex() != "2a8648ce380401" or len(held) == 1 and integer(held[0]) else None
+        if tags == [0x30, 4] and [t for t, _ in value(0)] == [6, 0x30] and value(0)[0][1].hex().startswith(("2a864886f70d0105", "2a864886f70d010c01")) and value(1):
+            return "encrypted"
+        if x[0] == (2, b"\3") and tags in ([2, 0x30], [2, 0x30, 0x30]) and [t for t, _ in value(1)] == [6, 0xA0] and value(1)[0][1].hex() in ("2a864886f70d010701", "2a864886f70d010702"):
+            return "pfx"
+        return None
+
+    return layout(top[0][1]) is not None
+
+
+def test_key_layouts():
+    assert {n for n, k in KEYS.items() if S.is_private_key(k)} == set(KEYS)
+    assert not {n for n, k in NO_KEYS.items() if S.is_private_key(k)} and all(map(S.is_der, NO_KEYS.values()))
+    assert all(map(plain_private_key, KEYS.values())) and not any(map(plain_private_key, NO_KEYS.values()))
+    for name, k in {**KEYS, **NO_KEYS}.items():
+        found = [("der", k.hex())] if name in KEYS else []
+        assert [x for x in kinds(f"k {k.hex()} z") if x[0] == "der"] == found
+        assert not any(S.is_private_key(k[:n]) for n in range(len(k))) and not S.is_private_key(k + b"x")
+
+
+def test_changed_keys_match_a_plain_parser():
+    rng = random.Random(5)
+    for k in [*KEYS.values(), *NO_KEYS.values()]:
+        for _ in range(600):
+            data = bytearray(k)
+            for _ in range(rng.randint(1, 2)):
+                data[min(int(rng.expovariate(0.1)), len(data) - 1) if rng.random() < 0.7 else rng.randrange(len(data))] = rng.choice([0, 1, 2, 3, 4, 6, 0x30, 0x81, 0x82, 0xA0, 0xA1, rng.randrange(256)])
+            assert S.is_private_key(bytes(data)) == plain_private_key(bytes(data)), bytes(data).hex()
+
+
+def test_legacy_encrypted_keys():
+    body = base64.encodebytes(bytes(range(64))).decode()
+    armour = lambda headers, body, label="RSA PRIVATE KEY": f"-----BEGIN {label}-----\n{headers}\n{body}-----END {label}-----"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,000102030405060708090A0B0C0D0E0F\n"
+    good = armour(headers, body)
+    assert ("pem", good) in kinds(f"key:\n{good}\nend")
+    assert ("pem", good.replace("\n", "\r\n")) in kinds(good.replace("\n", "\r\n"))
+    for bad in (armour(headers, "QUJD\n"), armour(headers.replace("AES", "XYZ"), body), armour(headers.replace("0E0F", ""), body), armour("Proc-Type: 4,ENCRYPTED\n", body), armour("", body)):
+        assert not [k for k, _ in kinds(bad) if k == "pem"]
+    assert ("pem", armour("", base64.encodebytes(RSA).decode())) in kinds(armour("", base64.encodebytes(RSA).decode()))
+
+
 def test_confirmed_structures():
     pem = "-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(KEY).decode() + "-----END PRIVATE KEY-----"
     assert ("pem", pem) in kinds(f"x {pem} y")
     assert ("der", base64.b64encode(KEY).decode()) in kinds("k " + base64.b64encode(KEY).decode())
     assert ("der", KEY.hex()) in kinds("k " + KEY.hex())
-    assert ("ssh", base64.b64encode(SSH).decode()) in kinds("ssh-ed25519 " + base64.b64encode(SSH).decode())
+    own = base64.b64encode(openssh()).decode()
+    assert ("ssh", own) in kinds("k " + own)
+    public = "ssh-ed25519 " + base64.b64encode(SSH).decode()
+    assert not kinds(public)
     good = token({"alg": "HS256"})
     assert ("jwt", good) in kinds("t " + good)
 
 
 def test_structures_that_do_not_hold_are_not_reported():
     broken = KEY[:-1]
-    assert not S.is_der(broken) and not S.is_der(KEY + b"x") and not S.is_der(b"") and not S.is_der(der(b"\x04\x01a", b"\x04\x01b"))
+    assert not S.is_der(broken) and not S.is_der(KEY + b"x") and not S.is_der(b"") and not S.is_private_key(der(b"\x04\x01a", b"\x04\x01b"))
     wrong_inside = der(der(b"\x02\x05a"), INTEGER)
     assert not S.is_der(wrong_inside)
     confirmed = {"pem", "der", "ssh", "jwt"}
-    for text in (base64.b64encode(bytes(range(60))).decode(), "QUJD" * 20, token({"typ": "JWT"}), token({"alg": "x"}, "[1]"), "eyJ.a.b", "-----BEGIN X-----\nQUJD\n-----END X-----"):
+    for text in (base64.b64encode(bytes(range(60))).decode(), "QUJD" * 20, token({"typ": "JWT"}), token({"alg": "x"}, "[1]"), token({"alg": "HS256"})[:-4], token({"alg": "none"}), "eyJ.a.b", "-----BEGIN X-----\nQUJD\n-----END X-----"):
         assert not confirmed & {k for k, _ in kinds(text)}
 
 
@@ -110,5 +255,6 @@ def test_long_and_deep_der():
         deep = wrap(deep)
     deep = wrap(INTEGER + deep)
     assert S.is_der(long) and S.is_der(deep) and not S.is_der(long[:-1]) and not S.is_der(deep + b"x")
-    pem = "-----BEGIN X509 CRL-----\n" + base64.encodebytes(long).decode() + "-----END X509 CRL-----"
+    key = wrap(wrap(oid("2a864886f70d01050d") + wrap(INTEGER * 10_000 + deep)) + element(4, bytes(64)))
+    pem = "-----BEGIN ENCRYPTED PRIVATE KEY-----\n" + base64.encodebytes(key).decode() + "-----END ENCRYPTED PRIVATE KEY-----"
     assert ("pem", pem) in kinds(pem)
