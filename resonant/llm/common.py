@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised kernels handle at once; a longer document is handled alone.
 CHUNK_BYTES = 1 << 18
@@ -75,6 +76,32 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with this share of all rows is split into so many parts in a shuffle lookup; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE, HOT_PARTS = 0.001, 64
+
+
+def lookup(df: DataFrame, on: Column, values: DataFrame, few: bool) -> DataFrame:
+    """df with the columns of values but its first, the key, from the row whose key equals on (null equals null); null where there is
+    none. Keys of values are unique and its other columns' names new to df. Few values are broadcast; else it is a shuffle join, in
+    which the hot keys of df are split into salted parts."""
+    wanted = values.columns[1:]
+    key = free_name(df, "lookup_key")
+    named = values.withColumnRenamed(values.columns[0], key)
+    if few:
+        return df.join(F.broadcast(named), on.eqNullSafe(F.col(key)), "left").drop(key)
+    own, hot_key, hot, part, other_part = (free_name(df, x) for x in ("lookup_own", "lookup_hot_key", "lookup_hot", "lookup_part", "lookup_other_part"))
+    keyed = df.withColumn(own, on)
+    sizes = keyed.groupBy(F.col(own).alias(hot_key)).agg(F.count("*").alias("n"))
+    keys = materialize(sizes.where(F.col("n") >= max(2, HOT_SHARE * df.count())).select(hot_key, F.lit(True).alias(hot)))
+    # the rows of a hot key go by their own values, so that a task that runs again deals them out as before
+    plain = [F.col(f"`{f.name}`") for f in df.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    salt = F.when(F.col(hot), F.pmod(F.xxhash64(*plain), F.lit(HOT_PARTS)).cast("int")).otherwise(F.lit(0))
+    left = keyed.join(F.broadcast(keys), F.col(own).eqNullSafe(F.col(hot_key)), "left").withColumn(part, salt).drop(hot_key, hot)
+    parts = F.when(F.col(hot), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    right = named.join(F.broadcast(keys), F.col(key).eqNullSafe(F.col(hot_key)), "left").select(key, *wanted, F.explode(parts).alias(other_part))
+    return left.join(right, F.col(own).eqNullSafe(F.col(key)) & (F.col(part) == F.col(other_part)), "left").drop(own, key, part, other_part)
+
+
 # --- text as numpy arrays -------------------------------------------------------------------------------------------
 
 _RNG = np.random.Generator(np.random.PCG64(5_000_011))

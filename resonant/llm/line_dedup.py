@@ -23,14 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resonant.llm.common import free_name, materialize
+from resonant.llm.common import free_name, lookup, materialize
 
 BOILERPLATE_RATIO = 0.02
 MIN_PAGES = 3
 #: Boilerplate lines up to this many are broadcast (8 bytes each); above it the join shuffles.
 BROADCAST_LINES = 500_000
-#: A host with this share of all rows is split into so many parts in a shuffle join.
-HOT_SHARE, HOT_PARTS = 0.001, 64
 
 
 def _key(line: Column) -> Column:
@@ -53,35 +51,14 @@ def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio
     )
 
 
-def _with_lines(docs: DataFrame, lines: DataFrame, host: str, name: str, broadcast_lines: int) -> DataFrame:
-    """docs with the hashes of their host's lines, null where it has none."""
-    per_host = lines.groupBy("host").agg(F.collect_list("h").alias(name))
-    key, part = free_name(docs, "host_key"), free_name(docs, "host_part")
-    per_host = per_host.withColumnRenamed("host", key)
-    if lines.limit(broadcast_lines + 1).count() <= broadcast_lines:
-        return docs.join(F.broadcast(per_host), F.col(host).eqNullSafe(F.col(key)), "left").drop(key)
-    hot_key, hot = free_name(docs, "hot_host"), free_name(docs, "hot")
-    sizes = docs.groupBy(F.col(host).alias(hot_key)).agg(F.count("*").alias("n"))
-    hosts = materialize(sizes.where(F.col("n") >= HOT_SHARE * docs.count()).select(hot_key, F.lit(True).alias(hot)))
-    # the rows of a hot host go by their own values, so that a task that runs again deals them out as before
-    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    salt = lambda h: F.when(F.col(hot), h).otherwise(F.lit(0))
-    left = docs.join(F.broadcast(hosts), F.col(host).eqNullSafe(F.col(hot_key)), "left").withColumn(part, salt(F.pmod(F.xxhash64(*plain), F.lit(HOT_PARTS)).cast("int"))).drop(hot_key, hot)
-    every = F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))
-    own, own_part = free_name(docs, "own_host"), free_name(docs, "own_part")
-    right = per_host.join(F.broadcast(hosts), F.col(key).eqNullSafe(F.col(hot_key)), "left").select(
-        F.col(key).alias(own), name, F.explode(F.when(F.col(hot), every).otherwise(F.array(F.lit(0)))).alias(own_part)
-    )
-    return left.join(right, F.col(host).eqNullSafe(F.col(own)) & (F.col(part) == F.col(own_part)), "left").drop(own, own_part, part)
-
-
 def apply_to(
     docs: DataFrame, text: str = "text", host: str = "source", ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES, counts: bool = True, broadcast_lines: int = BROADCAST_LINES
 ) -> DataFrame:
     """All columns of docs with the text cleaned, plus n_lines and n_dropped where counts are wanted."""
     lines = materialize(boilerplate(docs, text, host, ratio, min_pages))
     own, split, drop = (free_name(docs, x) for x in ("own_lines", "split_lines", "drop_lines"))
-    joined = _with_lines(docs, lines, host, own, broadcast_lines)
+    few = lines.limit(broadcast_lines + 1).count() <= broadcast_lines
+    joined = lookup(docs, F.col(host), lines.groupBy("host").agg(F.collect_list("h").alias(own)), few)
     keys = F.transform(split, _key)
     out = joined.withColumn(split, F.split(text, "\n", -1)).withColumn(drop, F.when(F.col(own).isNotNull(), F.array_intersect(keys, own)))
     kept = F.when(F.size(drop) > 0, F.filter(split, lambda x: ~F.coalesce(F.array_contains(drop, _key(x)), F.lit(False)))).otherwise(F.col(split))

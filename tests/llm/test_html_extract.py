@@ -94,3 +94,45 @@ WORDS = LONG.strip()
 )
 def test_nothing_of_an_article_is_left_out(html, want):
     assert H.extract(html, None) == want
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<div class='layout has-sidebar'><article><p>{LONG}</article></div>", WORDS),
+        (f"<div class='post no-comments'><p>{LONG}</div>", WORDS),
+        (f"<div class='post'><p>{LONG}<p class='notice-board-history'>More.</div>", f"{WORDS} More."),
+        (f"<div class='page-header-fixed'><div id=header><p>Site</div><article><p>{LONG}</article></div>", WORDS),
+        (f"<div class='navigation-on sidebar'><main><p>{LONG}</main><div class='widget'><p>w</div></div>", WORDS),
+        (f"<div class='widget-area'><article><h1>T</h1><p>{LONG}</article></div><p>x</p>", f"T {WORDS}"),
+        (f"<form id=aspnetForm><div><p>{LONG}<p>b<p>c</div><div class='search-form'><p>go</div></form>", f"{WORDS} b c"),
+        (f"<article><p>{LONG}</article><section class='comments'><article><p>{LONG}<p>{LONG}<p>{LONG}</article></section>", WORDS),
+        (f"<article><p>{LONG}</article><div class='cookie-notice'><p>{LONG}<p>{LONG}<p>{LONG}</div>", WORDS),
+        (f"<article><p>{LONG}<div class='post-ad'><p>buy</div><div class='ad-slot-2'>buy</div><div id='sideBar'>s</div><div class='relatedPosts related'>r</div></article>", WORDS),
+        (f"<article><p>{LONG}</article><form><label>Name</label><p>Write to us, we are glad.</form>", WORDS),
+        (f"<article><header><p>by A</header><p>{LONG}</article><div class='share-buttons'>s</div><ul class='menu-items'><li>m</ul>", WORDS),
+        ("<div class='cookie-notice'><p>We use cookies</div>", ""),
+    ],
+)
+def test_words_of_a_wrapper_leave_nothing_out(html, want):
+    assert H.extract(html, None) == want
+
+
+def test_host_of_unique_paths_and_ties(spark):
+    rows = [(i, "http://unique.example/", f"<div class='{chr(97 + i // 26)}x{chr(97 + i % 26)}y'><p>{LONG} {i}</div><div class=teaser><p>no</div>") for i in range(400)]
+    rows += [(1000 + i, "http://tie.example/", f"<div class='{'ab'[i % 2]}'><p>{LONG}{i}</div>") for i in range(4)]
+    rows.append((2000, "http://tie.example/", f"<div class='b'><p>Of b</div><div class='a'><p>Of a</div><div class=c><p>{LONG}</div>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    paths = {r.host: r.paths for r in H.host_paths(pages).collect()}
+    assert paths == {"tie.example": [">div.a", ">div.b"]}
+    got = {r.page_id: r.text for r in H.main_text(pages).collect()}
+    assert all(got[i] == f"{WORDS} {i}" for i in range(400)) and got[2000] == "Of a"
+    many = [(i, f"http://h{i % 40}.example/", f"<div class='c{'x' * (i % 80)}'><p>{LONG}{i}</div>") for i in range(400)] + [(i, None, None) for i in (5000, 5001)]
+    pages = spark.createDataFrame(many, "page_id long, url string, html string").withColumn("lookup_key", F.lit(1))
+    assert sorted(H.main_text(pages).collect()) == sorted(H.main_text(pages, broadcast_bytes=0).collect())
+    assert max(len(r.paths) for r in H.host_paths(pages).collect()) <= H.MAX_PATHS
+
+
+def test_deep_pages_take_time_in_proportion():
+    deep = "<div class='some long name'>" * 60_000 + "<p>text " + "</i></b>" * 60_000 + "<b>" * 60_000 + "<p>end"
+    assert H.extract(deep, [">div"]) == "text end"
