@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 WIDTH, HOP = 4096, 2048
 
@@ -175,14 +174,10 @@ def sync_positions(left: np.ndarray, right: np.ndarray, marker: str, planes: tup
 
 
 def mean_spectra(blocks: DataFrame, width: int = WIDTH, hop: int = HOP) -> DataFrame:
-    """(track, channel, frames, bin, power, peak): mean power of each bin over all frames.
+    """(track, channel, bin, frames, power, peak): mean power of each bin over all frames.
 
-    Every block is transformed alone: it gets the next block's first samples, so frames that begin in it are whole, and a
-    channel is never gathered in one task. Blocks but the last must be at least width long. Only one row a bin and block
-    leaves the kernel."""
-    order = Window.partitionBy("track", "channel").orderBy("block")
-    following = F.slice(F.lead("samples").over(order), 1, width)
-    joined = blocks.select("track", "channel", "start_frame", "samples", F.coalesce(following, F.array().cast("array<double>")).alias("after"))
+    Every block is transformed alone: the source gave it the channel's next width samples (column after), so frames that begin
+    in it are whole and no channel is gathered or sorted. Only one row a bin and block leaves the kernel."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -194,6 +189,7 @@ def mean_spectra(blocks: DataFrame, width: int = WIDTH, hop: int = HOP) -> DataF
                 if len(m):
                     yield pd.DataFrame({"track": track, "channel": channel, "frames": len(m), "bin": np.arange(m.shape[1]), "power": (m**2).sum(axis=0), "peak": m.max()})
 
+    joined = blocks.select("track", "channel", "start_frame", "samples", "after")
     sums = joined.mapInPandas(run, "track string, channel int, frames long, bin long, power double, peak double")
     return sums.groupBy("track", "channel", "bin").agg(F.sum("frames").alias("frames"), (F.sum("power") / F.sum("frames")).alias("power"), F.max("peak").alias("peak"))
 
