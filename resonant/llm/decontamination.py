@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resonant.llm.common import IS_BREAK, WordHashes, chunks, mix, text_arrays
+from resonant.llm.common import IS_BREAK, WordHashes, chunks, mix, releasing, text_arrays
 
 SEED_WORDS = 3
 #: The share of an item's n-grams, from the rarest on, that are seeds.
@@ -189,7 +189,7 @@ def seeds(docs: DataFrame, bench: DataFrame, block: int, blocks: int, share: flo
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["key", "n"])
 
     corpus = np.zeros(len(items.keys), np.int64)
-    for r in docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(releasing(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
         corpus[r["key"]] = r["n"]
     items.keep_rare(corpus, share)
     return items
@@ -211,7 +211,7 @@ def hits(docs: DataFrame, bench: DataFrame, least_score: float = LEAST_SCORE, bl
                     names=["doc_id", "item_id", "score", "start_word", "end_word"],
                 )
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, score double, start_word long, end_word long")
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(run), "doc_id long, item_id long, score double, start_word long, end_word long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -231,5 +231,5 @@ def remove(docs: DataFrame, bench: DataFrame, least_score: float = LEAST_SCORE,
                         keep[i + r] = False
                 yield batch.filter(pa.array(keep))
 
-        left = left.mapInArrow(run, docs.schema)
+        left = left.mapInArrow(releasing(run), docs.schema)
     return left

@@ -25,10 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from resonant.llm.common import chunks, text_arrays
+from resonant.llm.common import releasing, text_arrays
 
 UNDETERMINED = "und"
+#: Bytes whose costs are looked up at once.
+BLOCK_BYTES = 1 << 17
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -91,39 +94,42 @@ class PPMModel:
     symbols: list[_Table]
     escapes: list[_Table]
 
-    def code_lengths(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Bits of each document under each language: documents x languages."""
-        base = int(offs[0])
-        offs = offs - base
-        text = data[base : base + int(offs[-1])].astype(np.uint32)
-        n, docs = len(text), len(offs) - 1
-        out = np.zeros((docs, len(self.languages)))
-        if not n:
-            return out
-        lengths = np.diff(offs)
-        place = np.arange(n) - np.repeat(offs[:-1], lengths)
-        grams = [text]  # grams[k]: the byte and the k bytes before it
+    def code_lengths(self, data: np.ndarray, offs: np.ndarray, size: int = BLOCK_BYTES) -> np.ndarray:
+        """Bits of each document under each language: documents x languages. Blocks of so many bytes bound the working memory,
+        whatever the texts' lengths; a block sees the bytes before it."""
+        out = np.zeros((len(offs) - 1, len(self.languages)))
+        for a in range(int(offs[0]), int(offs[-1]), size):
+            b = min(a + size, int(offs[-1]))
+            i, j = np.searchsorted(offs, a, "right") - 1, np.searchsorted(offs, b, "left")  # documents i to j - 1 have bytes here
+            starts = offs[i:j]
+            sizes = np.minimum(offs[i + 1 : j + 1], b) - np.maximum(starts, a)
+            cost = self._costs(data[max(a - self.max_order, int(offs[0])) : b], b - a, np.minimum(np.arange(a, b) - np.repeat(starts, sizes), self.max_order).astype(np.int8))
+            full = np.flatnonzero(sizes)
+            out[i + full] += np.add.reduceat(cost, (np.maximum(starts, a) - a)[full], axis=0, dtype=np.float64)
+        return out
+
+    def _costs(self, data: np.ndarray, n: int, order: np.ndarray) -> np.ndarray:
+        """Bits of each of the last n bytes after as many bytes before it as order says."""
+        head = len(data) - n
+        text = np.concatenate([np.zeros(self.max_order - head, np.uint8), data]).astype(np.uint32)
+        grams = [text[self.max_order :]]  # grams[k]: the byte and the k bytes before it
         for k in range(1, self.max_order + 1):
-            grams.append(grams[-1] | (np.concatenate([np.zeros(min(k, n), np.uint32), text[: max(n - k, 0)]]) << np.uint32(8 * k)))
-        order = np.minimum(place, self.max_order)
+            grams.append(grams[-1] | (text[self.max_order - k : len(text) - k] << np.uint32(8 * k)))
         cost = np.zeros((n, len(self.languages)), np.float32)
-        todo = np.arange(n)
+        todo = np.arange(n, dtype=np.int32)
         for k in range(self.max_order, -1, -1):
-            at = todo[order[todo] >= k]
-            rest = todo[order[todo] < k]
+            deep = order[todo] >= k
+            at, rest = todo[deep], todo[~deep]
             rows = self.symbols[k].find(grams[k][at])
             hit = rows < self.symbols[k].n
             cost[at[hit]] += self.symbols[k].rows[rows[hit]]
             at = at[~hit]
-            context = grams[k][at] >> np.uint32(8)
-            rows = self.escapes[k].find(context)
+            rows = self.escapes[k].find(grams[k][at] >> np.uint32(8))
             seen = rows < self.escapes[k].n
             cost[at[seen]] += self.escapes[k].rows[rows[seen]]
             todo = np.concatenate([rest, at])
         cost[todo] += 8.0
-        full = np.flatnonzero(lengths)
-        out[full] = np.add.reduceat(cost, offs[:-1][full], axis=0, dtype=np.float64)
-        return out
+        return cost
 
 
 def _counts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,39 +204,35 @@ def sample_texts(
 
 
 def predict(docs: DataFrame, model: PPMModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
-    """The kept columns and, under these names, the language, its posterior under equal priors and its bits per byte."""
-    from pyspark.sql import types as T
-
-    source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
+    """The kept columns and, under these names, the language, its posterior under equal priors and its bits per byte. The text
+    goes to Python once, also where it is one of the kept columns."""
+    source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*keep, text))])
     out = T.StructType([source.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())])
+    at, kept = source.columns.index(text), [source.columns.index(c) for c in keep]
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         languages = [*m.languages, UNDETERMINED]
         for batch in batches:
-            at = batch.schema.names.index("__text")
             data, offs = text_arrays(batch.column(at))
             n = batch.num_rows
             pick, score, rate = np.full(n, len(m.languages)), np.zeros(n), np.zeros(n)
-            for i, j in chunks(offs) if m.languages else ():
-                bits = m.code_lengths(data, offs[i : j + 1])
+            if m.languages and n:
+                bits = m.code_lengths(data, offs)
                 best = bits.min(axis=1)
-                pick[i:j] = bits.argmin(axis=1)
-                score[i:j] = 1 / np.exp2(np.clip(best[:, None] - bits, -1000, 0)).sum(axis=1)
-                rate[i:j] = best / np.maximum(np.diff(offs[i : j + 1]), 1)
+                pick = bits.argmin(axis=1)
+                score = 1 / np.exp2(np.clip(best[:, None] - bits, -1000, 0)).sum(axis=1)
+                rate = best / np.maximum(np.diff(offs), 1)
             for i in range(n):
                 a, b = int(offs[i]), int(offs[i + 1])
                 # most texts have a letter in their first bytes; only the others are searched to their end
                 if a == b or not (_has_letter(data[a : min(b, a + 64)]) or _has_letter(data[a:b])):
                     pick[i], score[i], rate[i] = len(m.languages), 0.0, 0.0
-            kept = [batch.column(k) for k in range(batch.num_columns) if k != at]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array([languages[k] for k in pick], pa.string()), pa.array(score), pa.array(rate)],
-                names=[x for x in batch.schema.names if x != "__text"] + list(names),
-            )
+            found = [pa.array([languages[k] for k in pick], pa.string()), pa.array(score), pa.array(rate)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *found], names=[*keep, *names])
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(releasing(run), out)
 
 
 def _has_letter(data: np.ndarray) -> bool:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from resonant.llm.common import IS_BREAK, WordHashes, chunks, mix, text_arrays
+from resonant.llm.common import IS_BREAK, WordHashes, chunks, mix, releasing, text_arrays
 
 MAX_POSITIVE = 2000
 MAX_UNLABELLED = 6000
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             z = m.logits(*text_arrays(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=["doc_id", "score"])
 
-    out = source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+    out = source.mapInArrow(releasing(run), T.StructType([source.schema["doc_id"], T.StructField("score", T.DoubleType())]))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

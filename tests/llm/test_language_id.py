@@ -49,6 +49,8 @@ def test_code_lengths_match_a_plain_model(order):
     got = np.vstack([model.code_lengths(data, offs[i : j + 1]) for i, j in chunks(offs)])
     want = [[plain_bits(train[lang], t.encode(), order) for lang in ("aa", "bb")] for t in texts]
     assert np.allclose(got, want, rtol=1e-5)
+    for size in (1, 3, 7, 1000):
+        assert np.allclose(model.code_lengths(data, offs, size), want, rtol=1e-5)
 
 
 def test_held_out_accuracy(spark):

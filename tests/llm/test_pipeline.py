@@ -1,5 +1,9 @@
 """The stages against the operators' brute-force results, one after the other, and the result of run()."""
 
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from resonant.llm import stages
 from resonant.llm.queries import QUERIES
@@ -62,3 +66,20 @@ def test_without_languages_documents_with_letters_stay(spark):
     rows = [(1, "Some words", None, "s", 10), (2, "12 34 !", None, "s", 7), (3, None, None, "s", None), (4, "7 Ж", None, "s", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in stages.identify_language(spark, docs, DATA).collect()) == [1, 4]
+
+
+def test_clashing_names_odd_rows_and_long_texts(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40)
+    long = " ".join(f"wort{i} und" for i in range(60_000))
+    odd = spark.createDataFrame([(7001, long, "de", "src1", None), (7001, long, "de", None, None), (None, "Und so weiter.", None, None, 1), (7002, "", None, "src1", 0)], docs.schema)
+    names = ("lid_lang", "row_key", "split_lines", "own_lines", "component_id", "key", "grp", "__text")
+    rows = docs.unionByName(odd).unionByName(docs.limit(3)).select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    now = rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, DATA)
+        assert now.columns == rows.columns, name
+        assert {tuple(r[n] for n in names) for r in now.collect()} == {tuple(range(len(names)))}
+    kept = Counter(r.doc_id for r in now.collect())
+    assert kept[7001] == 1 and kept[7002] == 0 and kept[None] == 1 and max(kept.values()) == 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, DATA).collect()
+    check(packed, [(r.doc_id, r.text) for r in now.collect()], 2048)
