@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences by a grouping genetic algorithm (GGA).
 
 Documents are tokenised once, each followed by id 0; a document that is longer than a sequence is cut into full pieces
-after a first, shorter one. A full piece is a sequence of its own. The other pieces are dealt by a salt into groups of
+after a first, shorter one. A full piece is a sequence of its own and goes through no group. The other pieces are dealt by a salt into groups of
 about group_size pieces, so that a group fits one task at any input size; loss against one pool is below one sequence
 in each group. Each group is evolved on several islands in parallel, populations with different seeds. A crossover
 injects whole well-filled bins of one parent into the other, removes the bins that now hold duplicates, and best-fits
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from resonant.llm.common import materialize
+from resonant.llm.common import materialize, releasing
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = CAP
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 4), strict=True)], names=_PIECES.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(run), _PIECES)
 
 
 # --- the genetic algorithm on one group -----------------------------------------------------------------------------
@@ -200,9 +200,10 @@ def _sorted_items(pdf: pd.DataFrame) -> pd.DataFrame:
 def pack(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     cut_up = materialize(pieces(docs, json_path, ranks_path, capacity))
-    groups = max(1, math.ceil(cut_up.where(F.col("length") < capacity).count() / group_size))
-    items = cut_up.withColumn("grp", F.pmod("salt", F.lit(groups)).cast("long"))
-    parts = items.where(F.col("length") < capacity).withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
+    short = cut_up.where(F.col("length") < capacity)
+    groups = max(1, math.ceil(short.count() / group_size))
+    items = short.withColumn("grp", F.pmod("salt", F.lit(groups)).cast("long"))
+    parts = items.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
 
     def rows(key: tuple, lengths: np.ndarray, population: list[np.ndarray], keep: int) -> pd.DataFrame:
         return pd.DataFrame([(key[0], key[1], lengths.astype("<i4").tobytes(), p.astype("<i4").tobytes()) for p in population[:keep]], columns=_STATE.names)
@@ -227,23 +228,19 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, capacity: int = CAPAC
 
     def final(key: tuple, own: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         own = _sorted_items(own)
-        small = (own["length"] < capacity).to_numpy()
         lengths = own["length"].to_numpy(np.int64)
-        bins = np.zeros(len(own), np.int64)
-        n = 0
-        if small.any():
-            best = max((np.frombuffer(e, "<i4").astype(np.int64) for e in sorted(states["elite"])), key=lambda x: fitness(x, lengths[small], capacity))
-            bins[small] = best
-            n = int(best.max()) + 1
-        bins[~small] = n + np.arange((~small).sum())
+        bins = max((np.frombuffer(e, "<i4").astype(np.int64) for e in sorted(states["elite"])), key=lambda x: fitness(x, lengths, capacity))
         order = np.argsort(bins, kind="stable")
         ends = np.cumsum(lengths[order])
         begins = ends - lengths[order]
-        new = np.r_[True, np.diff(bins[order]) != 0] if len(order) else np.zeros(0, bool)
+        new = np.r_[True, np.diff(bins[order]) != 0]
         offset = np.empty(len(own), np.int64)
         offset[order] = begins - np.maximum.accumulate(np.where(new, begins, 0))
         own["sequence_id"] = (int(key[0]) << 32) + bins
         own["offset"] = offset
         return own[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    return items.groupBy("grp").cogroup(state.groupBy("grp")).applyInPandas(final, out)
+    packed = items.groupBy("grp").cogroup(state.groupBy("grp")).applyInPandas(final, out)
+    # groups number their sequences from 0 on; these are below
+    alone = cut_up.where(F.col("length") == capacity).select(*_PIECES.names[:5], (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(alone)

@@ -51,6 +51,17 @@ def test_odd_texts(spark):
     assert B.pack(df.limit(0), *tokenizer_paths()).count() == 0
 
 
+def test_long_documents_only(spark):
+    """Full pieces need no group: books alone, of whole pieces and of some more ids."""
+    texts = [(i, " a" * (640 - 1 if i % 2 else 650)) for i in range(20)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = B.pack(df, *tokenizer_paths(), capacity=64, group_size=4).collect()
+    n = check(rows, texts, 64)
+    assert {r.sequence_id for r in rows if r.length == 64} == {r.sequence_id for r in rows if r.sequence_id < 0} and n >= 200
+    whole = df.where("doc_id % 2 = 1")
+    assert check(B.pack(whole, *tokenizer_paths(), capacity=64).collect(), [t for t in texts if t[0] % 2], 64) == 100
+
+
 @pytest.mark.parametrize("n, want", [(1, [(0, 1)]), (8, [(0, 8)]), (9, [(0, 1), (1, 8)]), (16, [(0, 8), (8, 8)]), (20, [(0, 4), (4, 8), (12, 8)])])
 def test_cut(n, want):
     assert B.cut(n, 8) == want
