@@ -1,20 +1,24 @@
 """Exact Jaccard join of word n-gram sets by T-occurrence search (DivideSkip), to link classes and components.
 
-Sets that are equal form one class, so copies are never expanded into pairs. Three steps find every link between
-different sets, none by sampling:
+Sets that are equal form one class, so copies are never expanded into pairs. Four steps find every link between
+different sets that their components need, none by sampling:
 
 1. Filter. A set with a partner of similarity t shares all but (1 - t) of its shingles with other sets. The shingles in
    one half of the hash space are dealt into buckets, packed by source batch, where those that only one set has are
    counted; a set with more of them than (1 - t) * size can't have a partner and leaves.
 2. Blocks. Of the sets that stay, shingles are ordered from the rarest on; partners must share one of their first
-   size - ceil(t * size) + 1 shingles. Sets that share such a shingle, directly or over others, form a block.
-3. Search. Within a block, inverted lists of each query set's shingles are divided: the short ones are merged with a heap
-   that skips what can't reach the count, the L longest are probed by binary search, and sets that reach the required
-   overlap are verified and united. A set that is already in the block's largest component need not ask.
-
-A block beyond block_tokens is cut: its members are compared with one pivot, members that link with it are one class,
-and the others are searched against all of the block in slices, each slice pair in a task of its own. Hashes have 64 bits;
-equal hashes count as equal shingles or sets.
+   size - ceil(t * size) + 1 shingles, so only sets on one list of these shingles can be partners. Sets on one list, directly
+   or over others, form a block.
+3. Search. A block of up to block_tokens shingles is searched in one task.
+4. A larger block is not kept together, as chains of lists may join what has little in common. Its lists are searched: the
+   set of the smallest name on a list is its head, and every other set goes once, to the smallest head of its lists; a
+   head's sets are searched in slices with the head in each. Lists whose sets are then not yet in one component are
+   searched once more, equal lists once: the sets outside the list's largest component ask all of the list, slice by slice.
+
+Within a block, inverted lists of each query set's shingles are divided: the short ones are merged, with a heap that skips
+what can't reach the count, or by one counting sort of all their entries where they are many; the L longest are probed by
+binary search, and sets that reach the required overlap are verified and united. A set that is already in the block's largest component need not ask. Hashes have 64 bits; equal
+hashes count as equal shingles, sets or lists.
 
 Words are runs of bytes other than \\x20 and \\x09-\\x0D, with A-Z made lower case. Defined cases: a text of fewer than
 n words, but at least one, has the one shingle of all its words; a text without words, null or empty, has no shingles and
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from resonant.llm.common import WordHashes, chunks, materialize, shingle_hashes, text_arrays
+from resonant.llm.common import WordHashes, chunks, materialize, releasing, shingle_hashes, text_arrays
 
 WORDS = 5
 #: The similarity as a fraction: linked if PARTS * intersection >= LEAST * union.
@@ -46,8 +50,10 @@ LEAST, PARTS = 75, 100
 BUCKET_BYTES = 24_000_000
 #: Bits of the map that spares most sets the shuffle of step 2; its size is fixed, an exact join follows.
 MAP_BITS = 1 << 23
-#: Shingles of a block that one task searches.
+#: Shingles of a block that one task searches whole.
 BLOCK_TOKENS = 6_000_000
+#: Entries of short lists up to which they are merged by a heap.
+HEAP_ENTRIES = 2048
 
 #: Edges up to this many (16 bytes each) are united in one task; above it by rounds of joins.
 SMALL_EDGES = 1_000_000
@@ -221,7 +227,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))], names=["sig", "n", "shingles"])
 
-    sets = docs.select("text").mapInArrow(run, "sig long, n long, shingles array<long>").join(wanted, "sig", "left_semi")
+    sets = docs.select("text").mapInArrow(releasing(run), "sig long, n long, shingles array<long>").join(wanted, "sig", "left_semi")
     return sets.groupBy("sig").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 
@@ -266,10 +272,17 @@ def components(edges: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
         before = state
 
 
+def _with(df: DataFrame, key: str, values: DataFrame, how: str = "left") -> DataFrame:
+    """df with the columns of values but its first, which is the key, unique in it. values are a table of their own, not an
+    aggregate in the same stage, so that a key with many rows in df can be split among tasks at run time."""
+    named = values.withColumnRenamed(values.columns[0], "join_key")
+    return df.join(named, F.col(key) == F.col("join_key"), how).drop("join_key")
+
+
 # --- the search within a block --------------------------------------------------------------------------------------
 
 
-def _linked(both: int, a: int, b: int) -> bool:
+def _linked(both: int | np.ndarray, a: int, b: int | np.ndarray) -> bool | np.ndarray:
     return PARTS * both >= LEAST * (a + b - both)
 
 
@@ -283,52 +296,65 @@ class Index:
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(flat, kind="stable")
         keys, first, count = np.unique(flat[order], return_index=True, return_counts=True)
-        owner = owner[order].tolist()
+        owner = owner[order]
+        self.size_array = np.array(self.sizes, np.int64)
         self.lists = {k: owner[a : a + c] for k, a, c in zip(keys.tolist(), first.tolist(), count.tolist(), strict=True)}
 
     def search(self, query: np.ndarray, skip: int = -1) -> list[int]:
         """The sets that link with the query, by DivideSkip; skip is left out."""
         size = len(query)
         need = max(1, -(-LEAST * size // PARTS))
-        lists = sorted((x for t in query.tolist() if (x := self.lists.get(t)) and (len(x) > 1 or x[0] != skip)), key=len)
+        lists = sorted((x for t in query.tolist() if (x := self.lists.get(t)) is not None and (len(x) > 1 or x[0] != skip)), key=len)
         if len(lists) < need:
             return []
         longest = len(lists[-1])
         divide = min(need - 1, len(lists) - 1, int(need / (0.02 * math.log2(max(longest, 2)) + 1)))
         short, long = lists[: len(lists) - divide], lists[len(lists) - divide :]
         least = need - divide
-        found = []
-        heap = [(x[0], i, 0) for i, x in enumerate(short)]
-        heapq.heapify(heap)
-        while len(heap) >= least:
-            doc = heap[0][0]
-            popped = []
-            while heap and heap[0][0] == doc:
+        if sum(map(len, short)) <= HEAP_ENTRIES:
+            found = _heap_merge([x.tolist() for x in short], least)
+            doc, both = np.array([d for d, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+        else:
+            doc, both = np.unique(np.concatenate(short), return_counts=True)
+            keep = both >= least
+            doc, both = doc[keep], both[keep]
+        keep = doc != skip
+        doc, both = doc[keep], both[keep]
+        for k, x in enumerate(reversed(long)):
+            keep = both + len(long) - k >= need
+            doc, both = doc[keep], both[keep]
+            if not len(doc):
+                return []
+            at = np.minimum(np.searchsorted(x, doc), len(x) - 1)
+            both = both + (x[at] == doc)
+        return doc[_linked(both, size, self.size_array[doc])].tolist()
+
+
+def _heap_merge(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """The sets that at least so many of the sorted lists hold, with that number; what can't reach it is skipped."""
+    found = []
+    heap = [(x[0], i, 0) for i, x in enumerate(lists)]
+    heapq.heapify(heap)
+    while len(heap) >= least:
+        doc = heap[0][0]
+        popped = []
+        while heap and heap[0][0] == doc:
+            popped.append(heapq.heappop(heap))
+        if len(popped) >= least:
+            found.append((doc, len(popped)))
+            target = doc + 1
+        else:
+            # fewer than least lists hold this set: no set before the next head that least lists can meet at counts
+            while heap and len(popped) < least - 1:
                 popped.append(heapq.heappop(heap))
-            if len(popped) >= least:
-                if doc != skip:
-                    both = len(popped)
-                    for k, x in enumerate(reversed(long)):
-                        if both + len(long) - k < need:
-                            break
-                        at = bisect_left(x, doc)
-                        both += at < len(x) and x[at] == doc
-                    else:
-                        if _linked(both, size, self.sizes[doc]):
-                            found.append(doc)
-                target = doc + 1
-            else:
-                # fewer than least lists hold this set: no set before the next head that least lists can meet at counts
-                while heap and len(popped) < least - 1:
-                    popped.append(heapq.heappop(heap))
-                target = heap[0][0] if heap else None
-            if target is None:
+            if not heap:
                 break
-            for _, i, at in popped:
-                at = bisect_left(short[i], target, at)
-                if at < len(short[i]):
-                    heapq.heappush(heap, (short[i][at], i, at))
-        return found
+            target = heap[0][0]
+        for _, i, at in popped:
+            at = bisect_left(lists[i], target, at)
+            if at < len(lists[i]):
+                heapq.heappush(heap, (lists[i][at], i, at))
+    return found
 
 
 class Union:
@@ -372,12 +398,11 @@ def search_block(sets: list[np.ndarray]) -> list[int]:
 
 
 def _search_blocks(blocks: DataFrame) -> DataFrame:
-    """(a, b) links that connect the sets of each block (root, sig, shingles) as all their links do."""
+    """(a, b) links that connect the sets of each block (task, root, sig, shingles) as all their links do."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
-        pdf = pdf.sort_values(["root", "sig"])
-        for _, block in pdf.groupby("root", sort=False):
+        for _, block in pdf.sort_values(["root", "sig"]).groupby("root", sort=False):
             sig = block["sig"].tolist()
             out += [(sig[i], sig[r]) for i, r in enumerate(search_block([np.asarray(s, np.int64) for s in block["shingles"]])) if i != r]
         return pd.DataFrame(out, columns=["a", "b"])
@@ -385,32 +410,69 @@ def _search_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("task").applyInPandas(run, "a long, b long")
 
 
-def _search_large(members: DataFrame, slice_tokens: int) -> DataFrame:
-    """Links of blocks too large for one task: members (root, sig, n, shingles) against a pivot, then the rest in slices."""
-    pivots = members.groupBy("root").agg(F.min_by("shingles", "sig").alias("ps"), F.min("sig").alias("p"))
-    both = F.size(F.array_intersect("shingles", "ps"))
-    marked = materialize(
-        members.join(pivots, "root").withColumn("hit", (F.col("sig") == F.col("p")) | (PARTS * both >= LEAST * (F.col("n") + F.size("ps") - both))).drop("ps")
+def _around_heads(shared: DataFrame, sets: DataFrame, parts: int, block_tokens: int) -> DataFrame:
+    """(a, b) links of sets around heads; shared: sig, n, t and head of every list that several sets are on."""
+    home = shared.where("sig <> head").groupBy("sig").agg(F.min("head").alias("head"), F.first("n").alias("n"))
+    home = materialize(home)
+    slices = materialize(home.groupBy("head").agg(F.ceil(F.sum("n") / block_tokens).cast("int").alias("slices"), F.sum("n").alias("w")))
+    total = slices.agg(F.sum("w")).first()[0] or 0
+    tasks = max(1, parts, math.ceil(total / block_tokens))
+    dealt = _with(home.select("sig", "head"), "head", slices.select("head", "slices"))
+    dealt = dealt.select("sig", "head", F.pmod(F.xxhash64("sig"), F.col("slices")).cast("int").alias("slice"))
+    heads = slices.select(F.col("head").alias("sig"), "head", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    blocks = dealt.unionByName(heads).join(sets.select(F.col("sig").alias("s"), "shingles"), F.col("sig") == F.col("s"))
+    root = F.concat_ws(":", "head", "slice")
+    return _search_blocks(blocks.select(F.pmod(F.xxhash64("head", "slice"), F.lit(tasks)).alias("task"), root.alias("root"), "sig", "shingles"))
+
+
+def _mixed_lists(shared: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """sig, n, t and asks of every list whose sets have several components, equal lists once; None if there is no such list."""
+    comp = _with(shared.select("sig", "n", "t"), "sig", roots).select("sig", "n", "t", F.coalesce("root", "sig").alias("comp"))
+    lists = comp.groupBy("t").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64("sig", F.lit(1))).alias("y")
     )
-    star = marked.where(F.col("hit") & (F.col("sig") != F.col("p"))).select(F.col("sig").alias("a"), F.col("p").alias("b"))
-    totals = marked.groupBy("root").agg(F.ceil(F.sum("n") / slice_tokens).cast("int").alias("nb"), F.ceil(F.sum(F.when(~F.col("hit"), F.col("n"))) / slice_tokens).cast("int").alias("na"))
-    dealt = marked.join(totals.where("na is not null"), "root")
-    h = F.xxhash64("sig")
-    asking = dealt.where(~F.col("hit")).select("root", F.pmod(h, F.col("na")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), "sig", "shingles")
-    fresh = [F.col(c).alias(c) for c in ("root", "sig", "shingles")]  # new names for Spark: both sides come from one table
-    asked = dealt.select(*fresh, F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), F.pmod(h, F.col("nb")).alias("j"))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            sig = right["sig"].tolist()
-            index = Index([np.asarray(s, np.int64) for s in right["shingles"]])
-            for a, s in zip(left["sig"].tolist(), left["shingles"], strict=True):
-                out += [(a, sig[k]) for k in index.search(np.asarray(s, np.int64)) if sig[k] != a]
+    kept = materialize(lists.where("lo <> hi").groupBy("k", "x", "y").agg(F.min("t").alias("t")).select("t"))
+    if kept.isEmpty():
+        return None
+    rows = materialize(_with(comp, "t", kept, "inner"))
+    sizes = rows.groupBy("t", "comp").agg(F.count("*").alias("k"))
+    largest = materialize(sizes.groupBy("t").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest")))
+    return materialize(_with(rows, "t", largest).select("sig", "n", "t", (F.col("comp") != F.col("largest")).alias("asks")))
+
+
+def _search_mixed(mixed: DataFrame, sets: DataFrame, parts: int, block_tokens: int) -> DataFrame:
+    """(a, b) links of mixed lists: those of a list that ask against all of it, in cells of at most about block_tokens shingles a side."""
+    tokens = mixed.groupBy("t").agg(F.sum("n").alias("w"), F.sum(F.when(F.col("asks"), F.col("n"))).alias("v"))
+    cells = materialize(tokens.select("t", *[F.ceil(F.col(c) / block_tokens).cast("int").alias(d) for c, d in (("v", "na"), ("w", "nb"))], "w"))
+    total = cells.agg(F.sum(F.col("w") * F.col("na"))).first()[0] or 0
+    tasks = max(1, parts, math.ceil(total / block_tokens))
+    dealt = materialize(_with(mixed, "t", cells.drop("w")))
+    own = F.xxhash64("sig")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asking = dealt.where("asks").select("t", F.pmod(own, F.col("na")).cast("int").alias("i"), every("nb").alias("j"), "sig", F.lit(True).alias("asks"))
+    asked = dealt.select("t", every("na").alias("i"), F.pmod(own, F.col("nb")).cast("int").alias("j"), "sig", F.lit(False).alias("asks"))
+    rows = asking.unionByName(asked).join(sets.select(F.col("sig").alias("s"), "shingles"), F.col("sig") == F.col("s")).withColumn("task", F.pmod(F.xxhash64("t", "i", "j"), F.lit(tasks)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for _, cell in pdf.sort_values(["t", "i", "j", "asks", "sig"]).groupby(["t", "i", "j"], sort=False):
+            asks = cell["asks"].to_numpy()
+            sig, sets = cell["sig"].to_numpy(), [np.asarray(s, np.int64) for s in cell["shingles"]]
+            members = np.flatnonzero(~asks).tolist()
+            index = Index([sets[k] for k in members])
+            for k in np.flatnonzero(asks).tolist():
+                out += [(int(sig[k]), int(sig[members[y]])) for y in index.search(sets[k]) if sig[members[y]] != sig[k]]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    keys = ("root", "i", "j")
-    return star.unionByName(asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, "a long, b long"))
+    return rows.select("task", "t", "i", "j", "sig", "asks", "shingles").groupBy("task").applyInPandas(run, "a long, b long")
+
+
+def _search_large(shared: DataFrame, sets: DataFrame, parts: int, slice_tokens: int, small_edges: int) -> DataFrame:
+    """(a, b) links of the sets on these lists, list by list, as step 4 has it."""
+    links = materialize(_around_heads(shared, sets, parts, slice_tokens))
+    roots = materialize(components(links, small_edges).select(F.col("node").alias("sig"), "root"))
+    mixed = _mixed_lists(shared, roots)
+    return links if mixed is None else links.unionByName(_search_mixed(mixed, sets, parts, slice_tokens))
 
 
 def link_components(docs: DataFrame, n: int = WORDS, bucket_bytes: int = BUCKET_BYTES, block_tokens: int = BLOCK_TOKENS, small_edges: int = SMALL_EDGES) -> DataFrame:
@@ -420,8 +482,8 @@ def link_components(docs: DataFrame, n: int = WORDS, bucket_bytes: int = BUCKET_
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, math.ceil(size / bucket_bytes))
-    dealt = docs.mapInArrow(_deal(buckets, n), _FLOW).repartition(max(parts, 1), "bucket").sortWithinPartitions("bucket")
-    flow = materialize(dealt.mapInArrow(_count_alone(parts), _FLOW))
+    dealt = docs.mapInArrow(releasing(_deal(buckets, n)), _FLOW).repartition(max(parts, 1), "bucket").sortWithinPartitions("bucket")
+    flow = materialize(dealt.mapInArrow(releasing(_count_alone(parts)), _FLOW))
     named = flow.where(F.col("kind") == _DOC).select("doc_id", "n", "sig")
     lonely = flow.where(F.col("kind") == _ALONE).groupBy("bucket").applyInPandas(_without_partner, "sig long")
     wanted = materialize(named.where("sig is not null").select("sig").distinct().join(lonely, "sig", "left_anti"))
@@ -432,27 +494,31 @@ def link_components(docs: DataFrame, n: int = WORDS, bucket_bytes: int = BUCKET_
     rare_first = flat.join(common, "t").groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("s"))
     # shingles of one set only come first in the order; of the others these are left for the prefix
     reach = F.col("n") - F.ceil(F.col("n") * LEAST / PARTS) + 1 - (F.col("n") - F.size("s"))
-    prefix = materialize(rare_first.where(reach > 0).select("sig", F.explode(F.slice("s", F.lit(1), reach.cast("int"))).alias("x")).select("sig", F.col("x.t").alias("t")))
-    heads = prefix.groupBy("t").agg(F.min("sig").alias("head"), F.count("*").alias("k")).where("k > 1")
-    blocks = components(prefix.join(heads, "t").where("sig <> head").select(F.col("sig").alias("a"), F.col("head").alias("b")).distinct(), small_edges)
-
-    members = sets.join(blocks, sets["sig"] == blocks["node"]).select("root", "sig", "n", "shingles")
-    weights = blocks.join(sets.select("sig", "n"), blocks["node"] == F.col("sig")).groupBy("root").agg(F.sum("n").alias("w"))
+    prefix = materialize(rare_first.where(reach > 0).select("sig", "n", F.explode(F.slice("s", F.lit(1), reach.cast("int"))).alias("x")).select("sig", "n", F.col("x.t").alias("t")))
+    heads = materialize(prefix.groupBy("t").agg(F.min("sig").alias("head"), F.count("*").alias("k")).where("k > 1").select("t", "head"))
+    shared = materialize(_with(prefix, "t", heads, "inner"))
+    joined = materialize(components(shared.where("sig <> head").select(F.col("sig").alias("a"), F.col("head").alias("b")).distinct(), small_edges).select(F.col("node").alias("sig"), "root"))
+    sized = materialize(joined.join(sets.select("sig", "n"), "sig"))
+    weights = materialize(sized.groupBy("root").agg(F.sum("n").alias("w")))
     total = weights.agg(F.sum("w"), F.max("w")).first()
     tasks = max(1, parts, math.ceil((total[0] or 0) / block_tokens))
-    members = members.join(weights, "root")
-    small = members.where(F.col("w") <= block_tokens).withColumn("task", F.pmod(F.xxhash64("root"), F.lit(tasks)))
-    links = _search_blocks(small.select("task", "root", "sig", "shingles"))
+    held = materialize(_with(sized.select("sig", "root"), "root", weights))
+    small = held.where(F.col("w") <= block_tokens).select(F.col("sig").alias("s"), "root")
+    blocks = sets.join(small, F.col("sig") == F.col("s"))
+    links = _search_blocks(blocks.select(F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"), "root", "sig", "shingles"))
     if (total[1] or 0) > block_tokens:
-        links = links.unionByName(_search_large(materialize(members.where(F.col("w") > block_tokens).select("root", "sig", "n", "shingles")), max(1, block_tokens // 2)))
-    roots = components(links, small_edges).select(F.col("node").alias("sig"), "root")
-
-    classed = named.join(roots, "sig", "left").withColumn("class", F.coalesce("root", "sig"))
-    least = named.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("d"), F.count("*").alias("class_size")).join(roots, "sig", "left")
-    least = least.withColumn("class", F.coalesce("root", "sig"))
-    first = least.groupBy("class").agg(F.min("d").alias("component_id"))
-    return (
-        classed.join(first, "class", "left")
-        .join(least.select(F.col("sig").alias("s2"), "class_size"), F.col("sig") == F.col("s2"), "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+        large = held.where(F.col("w") > block_tokens).select(F.col("sig").alias("s"))
+        own = materialize(shared.join(large, F.col("sig") == F.col("s"), "left_semi"))
+        links = links.unionByName(_search_large(own, sets, parts, max(1, block_tokens // 8), small_edges))
+    roots = materialize(components(links, small_edges).select(F.col("node").alias("sig"), "root"))
+
+    classes = named.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
+    first = materialize(roots.join(classes, "sig").groupBy("root").agg(F.min("least").alias("component_id")))
+    linked = _with(roots, "root", first).select("sig", "component_id", F.lit(True).alias("linked"))
+    classes = materialize(_with(classes, "sig", linked).select("sig", "class_size", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")))
+    # rows without a set are dealt out by their id
+    keyed = named.withColumn("key", F.coalesce("sig", F.xxhash64("doc_id")))
+    alone = F.col("sig").isNull()
+    return _with(keyed, "key", classes).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 1).otherwise(F.col("class_size")).cast("long").alias("class_size")
     )

@@ -79,6 +79,27 @@ def test_large_group_of_near_copies_in_slices(spark):
     assert run(spark, rows, block_tokens=1000) == brute(rows)
 
 
+def test_short_texts_around_a_shared_passage(spark):
+    """Many sets on one list that are no partners, among them some groups: lists stay mixed and are searched in cells."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(12)]
+    rows = []
+    for g in range(40):
+        own = [f"g{g}_{i}" for i in range(rng.randint(3, 6))]
+        for c in range(rng.randint(1, 3)):
+            t = own + passage if g % 2 else passage + own
+            rows.append((len(rows), " ".join(t[: len(t) - c])))
+    assert run(spark, rows, block_tokens=40) == run(spark, rows) == brute(rows)
+
+
+def test_chains_of_links(spark):
+    """Each text links with the next one only: one component over many heads."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(100)]
+    random.Random(2).shuffle(rows)
+    assert run(spark, rows, block_tokens=200) == brute(rows)
+
+
 def test_boundary_of_the_similarity(spark):
     # 7 shingles of which 6 are shared by sets of 7 and 7: 6 / 8 is exactly 0.75
     a, b, c = "a b c d e f g h i j k", "a b c d e f g h i j z", "a b c d e f g h i y z"
