@@ -190,12 +190,33 @@ def platform_delta(level: Column, target: float) -> Column:
     return F.when(level.isNotNull(), F.format_string("%+.1f dB", F.lit(target) - level))
 
 
+# Least correlations and their verdicts, then the verdict below them.
+PHASE_STEPS = (
+    (0.9, "Mono-compatible"),
+    (0.5, "Normal stereo"),
+    (0.0, "Wide stereo"),
+    (-0.3, "⚠ Possible fake stereo / heavy M-S processing"),
+)
+PHASE_BELOW = "⚠ Phase cancellation — check mono fold-down"
+
+
 def phase_verdict(correlation: Column) -> Column:
-    steps = ((0.9, "near mono"), (0.5, "normal stereo"), (0.0, "wide stereo"), (-0.3, "partly out of phase"))
     out = F.when(correlation.isNull(), F.lit(None).cast("string"))
-    for least, text in steps:
+    for least, text in PHASE_STEPS:
         out = out.when(correlation >= least, text)
-    return out.otherwise("out of phase")
+    return out.otherwise(PHASE_BELOW)
+
+
+def clipping_verdict(count: Column) -> Column:
+    few = F.concat(F.lit("~ "), count.cast("string"), F.lit(" clipped sample(s) — minor"))
+    many = F.concat(F.lit("⚠ "), F.format_number(count, 0), F.lit(" clipped samples — audible distortion likely"))
+    return F.when(count == 0, "✓ No clipped samples").when(count < 10, few).otherwise(many)
+
+
+def gate(value: Column, supported: Column, enough: Column) -> Column:
+    """status and value of a detector's measurement: unsupported, inconclusive or measured; the value is known only where measured."""
+    status = F.when(~F.coalesce(supported, F.lit(False)), "unsupported").when(~F.coalesce(enough & value.isNotNull(), F.lit(False)), "inconclusive").otherwise("measured")
+    return F.struct(status.alias("status"), F.when(status == "measured", value).alias("value"))
 
 
 def level_of(power: float) -> float | None:

@@ -6,6 +6,7 @@ Per-frame and per-bin sums are ordinary aggregates, so partial aggregation shrin
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,20 +80,32 @@ def band_lag_correlation(bins: DataFrame, low: int, high: int, lags: tuple[int,
 
 def scatter_bound(bins: DataFrame, n: int, share: float, most: float) -> DataFrame:
     """Where local spread of the log spectrum collapses: per frame the last bin whose twice-smoothed spread is above a share of
-    its largest; per channel how many frames have one, the mean and the most frequent one (of equal ones the lowest)."""
-    lv = bins.select("channel", "frame_no", "bin", (F.greatest(20 * F.log10(F.col("m") + EPS), F.lit(-110.0)) / 10 * math.log(10)).alias("l"))
-    offsets = F.explode(F.array(*[F.lit(k) for k in range(-2, 3)]))
-
-    def neighbours(df: DataFrame, agg: Column, name: str) -> DataFrame:
-        # each value goes to the five bins that have it as a clamped neighbour
-        targets = df.select("channel", "frame_no", F.col("bin").alias("src"), F.col("l").alias("v"))
-        want = df.select("channel", "frame_no", "bin", offsets.alias("o")).withColumn("src", F.least(F.greatest(F.col("bin") + F.col("o"), F.lit(0)), F.lit(n - 1)))
-        return want.join(targets, ["channel", "frame_no", "src"]).groupBy("channel", "frame_no", "bin").agg(agg.alias(name))
-
-    spread = neighbours(lv, F.stddev_pop("v"), "l")
-    smooth = neighbours(spread, F.avg("v"), "t")
-    top = smooth.withColumn("top", F.max("t").over(Window.partitionBy("channel", "frame_no")))
-    bound = top.groupBy("channel", "frame_no").agg(F.max(F.when((F.col("top") > 1e-6) & (F.col("t") >= F.least(F.lit(most), share * F.col("top"))), F.col("bin"))).alias("bound")).where("bound is not null")
+    its largest; per channel how many frames have one, the mean and the most frequent one (of equal ones the lowest).
+
+    A frame's n bins become one array, so both smoothings, whose neighbours repeat the end bins, need no exchange."""
+    level = F.greatest(20 * F.log10(F.col("m") + EPS), F.lit(-110.0)) / 10 * math.log(10)
+    frames = bins.groupBy("channel", "frame_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", level.alias("l")))), lambda x: x["l"]).alias("l"))
+    places = F.sequence(F.lit(0), F.lit(n - 1))
+
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        """body of a value that is computed once, however often it is used."""
+        return F.transform(F.array(value), body)[0]
+
+    def around(v: Column, i: Column) -> list[Column]:
+        return [F.element_at(v, F.least(F.greatest(i + k, F.lit(0)), F.lit(n - 1)) + 1) for k in range(-2, 3)]
+
+    def mean(v: list[Column]) -> Column:
+        return sum(v[1:], v[0]) / 5
+
+    def spread(v: list[Column]) -> Column:
+        return let(mean(v), lambda m: F.sqrt(mean([(x - m) * (x - m) for x in v])))
+
+    def last(t: Column) -> Column:
+        return let(F.array_max(t), lambda top: F.when(top > 1e-6, F.array_max(F.transform(t, lambda x, i: F.when(x >= F.least(F.lit(most), share * top), i)))))
+
+    spreads = F.transform(places, lambda i: spread(around(F.col("l"), i)))
+    edge = let(spreads, lambda s: let(F.transform(places, lambda i: mean(around(s, i))), last))
+    bound = frames.select("channel", edge.cast("long").alias("bound")).where("bound is not null")
     mode = bound.groupBy("channel", "bound").agg(F.count("*").alias("n")).groupBy("channel").agg(F.max_by("bound", F.struct("n", (-F.col("bound")))).alias("mode"))
     return bound.groupBy("channel").agg(F.count("*").alias("bound_frames"), F.avg("bound").alias("average")).join(mode, "channel")
 
@@ -157,27 +170,96 @@ def top_band(bins: DataFrame, n: int) -> DataFrame:
 
 def comb_peaks(lags: DataFrame, wanted: tuple[int, ...], least: float, factor: float) -> DataFrame:
     """How many wanted lags stand out from the lags beside them; two or more are a comb."""
-    v = lags.select("channel", "lag", "correlation")
-    near = v.withColumnRenamed("lag", "l2").withColumnRenamed("correlation", "c2")
-    joined = v.where(F.col("lag").isin(*wanted)).join(near, "channel").where((F.abs(F.col("lag") - F.col("l2")) == 1))
-    per = joined.groupBy("channel", "lag").agg(F.max("correlation").alias("c"), F.max(F.abs("c2")).alias("beside"))
-    hit = (F.col("c") > least) & (F.col("c") > factor * F.col("beside"))
-    return per.groupBy("channel").agg(F.count_if(hit).alias("peaks")).withColumn("comb", F.col("peaks") >= 2)
+    by = Window.partitionBy("channel").orderBy("lag")
+    side = lambda move, d: F.when(move("lag").over(by) == F.col("lag") + d, F.abs(move("correlation").over(by)))
+    near = lags.select("channel", "lag", "correlation", side(F.lag, -1).alias("before"), side(F.lead, 1).alias("after"))
+    beside = near.where(F.col("lag").isin(*wanted)).withColumn("beside", F.greatest("before", "after")).where("beside is not null")
+    hit = (F.col("correlation") > least) & (F.col("correlation") > factor * F.col("beside"))
+    return beside.groupBy("channel").agg(F.count_if(hit).alias("peaks")).withColumn("comb", F.col("peaks") >= 2)
 
 
-def phase_entropy(bins: DataFrame, low: int) -> DataFrame:
-    """Entropy of the phase differences of adjacent frames; the phase is that of neighbouring bins taken as a complex pair."""
-    pairs = bins.where(F.col("bin") >= low).withColumn("w", F.lead("v").over(Window.partitionBy("channel", "frame_no").orderBy("bin"))).where((F.col("bin") % 2 == 0) & F.col("w").isNotNull())
-    phased = pairs.withColumn("phase", F.atan2("w", "v"))
-    by = Window.partitionBy("channel", "bin").orderBy("frame_no")
-    raw = phased.withColumn("d", F.col("phase") - F.lag("phase").over(by)).where("d is not null")
-    wrapped = raw.withColumn("d", F.col("d") - 2 * math.pi * F.floor((F.col("d") + math.pi) / (2 * math.pi)))
+def phases(bins: DataFrame, low: int) -> DataFrame:
+    """Phase of every other bin from a bin on, that of neighbouring bins taken as a complex pair, with the frame's number among all
+    frames of its channel (index), whether it is active, and whether the pair is above its frame's floor (loud)."""
+    frames = bins.groupBy("channel", "frame_no").agg(F.max("m").alias("peak"))
+    top = F.max("peak").over(Window.partitionBy("channel"))
+    numbered = frames.select("channel", "frame_no", "peak", (F.row_number().over(Window.partitionBy("channel").orderBy("frame_no")) - 1).cast("long").alias("index"), (F.col("peak") > (top + EPS) * 1e-3).alias("active"))
+    ahead = F.lead("v").over(Window.partitionBy("channel", "frame_no").orderBy("bin"))
+    pairs = bins.where(F.col("bin") >= low).withColumn("w", ahead).where((F.col("bin") % 2 == 0) & F.col("w").isNotNull())
+    loud = F.sqrt(F.col("v") * F.col("v") + F.col("w") * F.col("w")) > F.greatest(F.lit(1e-8), F.col("peak") * 1e-4)
+    return pairs.join(numbered, ["channel", "frame_no"]).select("channel", "bin", "index", "active", loud.alias("loud"), F.atan2("w", "v").alias("phase"))
+
+
+def _entropy_of_differences(differences: DataFrame) -> DataFrame:
+    """Pairs and entropy in bits of the wrapped differences d over 36 cells."""
+    wrapped = differences.withColumn("d", F.col("d") - 2 * math.pi * F.floor((F.col("d") + math.pi) / (2 * math.pi)))
     cell = F.least(F.floor((F.col("d") + math.pi) / (2 * math.pi) * 36), F.lit(35))
     hist = wrapped.groupBy("channel", cell.alias("cell")).agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("channel")))
     p = F.col("n") / F.col("total")
     return hist.groupBy("channel").agg(F.max("total").alias("pairs"), (-F.sum(p * F.log2(p))).alias("entropy"))
 
 
+def phase_entropy(bins: DataFrame, low: int) -> DataFrame:
+    """Entropy of the phase differences of adjacent frames: both active, one right after the other, both pairs above their floor."""
+    by = Window.partitionBy("channel", "bin").orderBy("index")
+    before = phases(bins, low).select("*", F.lag("phase").over(by).alias("p0"), F.lag("index").over(by).alias("i0"), F.lag("active").over(by).alias("a0"), F.lag("loud").over(by).alias("l0"))
+    adjacent = (F.col("index") == F.col("i0") + 1) & F.col("active") & F.col("a0") & F.col("loud") & F.col("l0")
+    return _entropy_of_differences(before.where(adjacent).select("channel", (F.col("phase") - F.col("p0")).alias("d")))
+
+
+def legacy_phase_entropy(bins: DataFrame, low: int) -> DataFrame:
+    """The same without floors and across gaps: each active frame against the active one before it."""
+    by = Window.partitionBy("channel", "bin").orderBy("index")
+    rows = phases(bins, low).where("active")
+    return _entropy_of_differences(rows.select("channel", (F.col("phase") - F.lag("phase").over(by)).alias("d")).where("d is not null"))
+
+
+def mirrored_bins(sources: tuple[int, ...], rate: int, width: int, bins: int, guard: int, reach: int, least: int) -> list[tuple[int, int, int, float]]:
+    """(source rate, bin, its mirror around the source's band limit rounded down, the rest) of each pair that is compared."""
+    step = rate / width
+    out = []
+    for source in sources:
+        limit = source / 2
+        centre = round(limit / step)
+        half = min(reach, bins - 4 - centre - guard, centre - guard)
+        if half >= least:
+            for low in range(centre - guard - half, centre - guard):
+                target = 2 * limit / step - low
+                out.append((source, low, int(target), target - int(target)))
+    return out
+
+
+def mirror_correlation(bins: DataFrame, pairs: list[tuple[int, int, int, float]]) -> DataFrame:
+    """Mean over the active frames of the correlation of log magnitudes below a band limit with those mirrored above it. The pairs
+    are a small table; a frame is one array, so the join on its bins is a lookup."""
+    frames = active(bins).groupBy("channel", "frame_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "m"))), lambda x: x["m"]).alias("m"))
+    table = F.array(*[F.struct(F.lit(s).cast("long").alias("source_rate"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(f).alias("f")) for s, lo, hi, f in pairs])
+    rows = frames.select("channel", "frame_no", "m", F.explode(table).alias("p")).select("channel", "frame_no", "p.*", "m")
+    at = lambda c, d: F.element_at("m", (F.col(c) + d).cast("int"))
+    logs = rows.select("channel", "frame_no", "source_rate", F.log(at("lo", 1) + EPS).alias("a"), F.log(at("hi", 1) * (1 - F.col("f")) + at("hi", 2) * F.col("f") + EPS).alias("b"))
+    per = logs.groupBy("channel", "frame_no", "source_rate").agg(F.count("*").alias("pairs"), (F.covar_pop("a", "b") / (F.sqrt(F.var_pop("a") * F.var_pop("b")) + EPS)).alias("c"))
+    return per.groupBy("channel", "source_rate").agg(F.max("pairs").alias("pairs"), F.count("*").alias("frames"), F.avg("c").alias("correlation"))
+
+
+def base_features(bins: DataFrame, floor_db: float, hf_from: int, span: int, rate: int, least: int = 4) -> DataFrame:
+    """The features of the mid channel's base set: as features(), but the high share is one of totals, known above 30 kHz only,
+    and nothing is known with fewer frames or active frames than least."""
+    plain = features(bins, floor_db, hf_from, span)
+    sums = active(bins).groupBy("channel").agg((F.sum(F.when(F.col("bin") >= hf_from, F.col("m")).otherwise(0.0)) / (F.sum("m") + EPS)).alias("share"))
+    ready = (F.col("frames") >= least) & (F.col("active_frames") >= least)
+    known = [F.when(ready, F.col(c)).alias(c) for c in ("cutoff", "cutoff_variance", "cliff_db", "sharpness", "entropy", "noise_db")]
+    share = F.when(ready & F.lit(rate > 30_000), F.col("share")).alias("hf_ratio")
+    return plain.join(sums, "channel").select("channel", "frames", "active_frames", *known, share, F.when(ready, "measured").otherwise("inconclusive").alias("status"))
+
+
+def strided_cutoffs(bins: DataFrame, floor_db: float, most: int = 2500) -> DataFrame:
+    """Cutoffs of every active frame, or of every k-th where a channel has more than most active frames (k = active / most + 1)."""
+    by = Window.partitionBy("channel")
+    c = cutoffs(bins, floor_db).withColumns({"index": F.row_number().over(by.orderBy("frame_no")) - 1, "active_frames": F.count("*").over(by)})
+    stride = F.when(F.col("active_frames") > most, F.floor(F.col("active_frames") / most) + 1).otherwise(1)
+    return c.where(F.col("index") % stride == 0).drop("index", "active_frames")
+
+
 def rate_hypotheses(bins: DataFrame, sources: tuple[int, ...], rate: int) -> DataFrame:
     """Mean levels around each lower rate's band limit: edge, notch, above, ceiling; and what pattern they make."""
     spec = mean_spectrum(active(bins))

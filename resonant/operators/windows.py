@@ -52,9 +52,14 @@ def run_summary(series: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def windows_in_runs(frames: DataFrame, found: DataFrame, width: int) -> DataFrame:
-    """Frames that lie wholly inside one run."""
-    inside = (frames["part"] == found["part"]) & (found["start"] <= frames["start"]) & (frames["start"] + width <= found["end"])
-    return frames.join(found, inside, "left_semi")
+    """Frames that lie wholly inside one run. Runs don't overlap, so the last one that begins before a frame decides: one ordered
+    pass over both, no join of intervals."""
+    both = frames.withColumn("run_end", F.lit(None).cast("long")).withColumn("is_run", F.lit(False)).unionByName(
+        found.select("part", "start", F.col("end").alias("run_end"), F.lit(True).alias("is_run")), allowMissingColumns=True
+    )
+    upto = Window.partitionBy("part").orderBy("start", F.desc("is_run")).rowsBetween(Window.unboundedPreceding, 0)
+    marked = both.withColumn("run_end", F.last("run_end", ignorenulls=True).over(upto))
+    return marked.where(~F.col("is_run") & (F.col("start") + width <= F.col("run_end"))).select(*frames.columns)
 
 
 def local_maxima(series: DataFrame, value: Column) -> DataFrame:
@@ -68,19 +73,34 @@ def local_maxima(series: DataFrame, value: Column) -> DataFrame:
 
 
 def spaced_in_order(peaks: DataFrame, distance: int) -> DataFrame:
-    """From first to last, those at least this far after the last one that was kept."""
-    sorted_frames = F.array_sort(F.collect_list("frame"))
-    empty = F.array().cast("array<bigint>")
-    kept = F.aggregate(
-        sorted_frames, F.struct(empty.alias("kept"), F.lit(None).cast("bigint").alias("last")),
-        lambda a, f: F.when(a["last"].isNull() | (f - a["last"] >= distance), F.struct(F.concat(a["kept"], F.array(f)).alias("kept"), f.alias("last"))).otherwise(a),
-        lambda a: a["kept"],
-    )
-    return peaks.groupBy("part").agg(kept.alias("kept")).select("part", F.explode("kept").alias("frame"))
+    """From first to last, those at least this far after the last one that was kept: one pass over sorted frames, which remembers
+    the last kept one only."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, last = None, None
+        for pdf in batches:
+            parts, frames = pdf["part"].to_numpy(), pdf["frame"].to_numpy()
+            edges = np.r_[0, np.flatnonzero(parts[1:] != parts[:-1]) + 1, len(parts)] if len(parts) else np.zeros(1, int)
+            kept = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if parts[a] != part:
+                    part, last = parts[a], None
+                at = a if last is None else a + np.searchsorted(frames[a:b], last + distance)
+                while at < b:
+                    kept.append(at)
+                    last = frames[at]
+                    at = at + np.searchsorted(frames[at:b], last + distance)
+            yield pdf.iloc[kept][["part", "frame"]]
+
+    ordered = peaks.select("part", "frame").repartition("part").sortWithinPartitions("part", "frame")
+    return ordered.mapInPandas(scan, peaks.select("part", "frame").schema)
 
 
 def spaced_by_height(peaks: DataFrame, distance: int) -> DataFrame:
-    """From the highest down (of equal ones the later first), those that no kept one is nearer to than the distance."""
+    """From the highest down (of equal ones the later first), those that no kept one is nearer to than the distance.
+
+    Peaks on both sides of a gap of the distance or more don't touch each other, so a part is cut there and each piece is
+    picked alone; only a series without any gap is one piece."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame").reset_index(drop=True)
@@ -93,7 +113,27 @@ def spaced_by_height(peaks: DataFrame, distance: int) -> DataFrame:
                 alive[a:b] = False
         return pdf.loc[sorted(kept), ["part", "frame", "value"]]
 
-    return peaks.groupBy("part").applyInPandas(pick, peaks.schema)
+    gap = F.coalesce((F.col("frame") - F.lag("frame").over(in_order()) >= distance).cast("int"), F.lit(0))
+    pieces = peaks.withColumn("gap", gap).withColumn("piece", F.sum("gap").over(in_order())).drop("gap")
+    return pieces.groupBy("part", "piece").applyInPandas(pick, peaks.schema)
+
+
+def loudest_apart(blocks: DataFrame, energy: str, count: int, distance: int) -> DataFrame:
+    """The count blocks of largest energy of each part (of equal ones the earlier), each further than the distance from those before
+    it in that order. No block within the distance of a kept one can follow, so at most count * (2 * distance + 1) of the
+    loudest are looked at; they are ranked by Spark."""
+    most = count * (2 * distance + 1)
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("energy"), "block"))
+    top = blocks.select("part", "block", F.col(energy).alias("energy")).withColumn("rank", rank).where(F.col("rank") <= most)
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[int] = []
+        for b in pdf.sort_values("rank")["block"].tolist():
+            if len(kept) < count and all(abs(b - k) > distance for k in kept):
+                kept.append(b)
+        return pdf[pdf["block"].isin(kept)].sort_values("block")[["part", "block", "energy"]]
+
+    return top.groupBy("part").applyInPandas(pick, top.drop("rank").schema)
 
 
 def lookback(series: DataFrame, far: int, near: int, history: int) -> DataFrame:
@@ -153,23 +193,51 @@ def flat_runs(series: DataFrame, value: Column) -> DataFrame:
 
 
 def stateful_noise_floor(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    """Running maxima over a ring of width samples, the least of them so far: for mapInPandas over sorted partitions."""
-    from collections import deque
-
-    ring: deque[tuple[int, float]] = deque()
-    part, least = None, None
+    """Running maxima over a ring of width samples, the least of them so far: for mapInPandas over sorted partitions. Whole runs of
+    a part at once; between batches it remembers the last width - 1 samples and the least."""
+    part, tail, seen, least = None, np.zeros(0), 0, np.inf
     for pdf in batches:
-        out = []
-        for p, i, x in zip(pdf["part"], pdf["frame"], np.abs(pdf["x"]), strict=True):
-            if p != part:
-                part, least = p, None
-                ring.clear()
-            while ring and ring[-1][1] <= x:
-                ring.pop()
-            ring.append((i, x))
-            if ring[0][0] <= i - width:
-                ring.popleft()
-            if i >= width - 1:
-                least = ring[0][1] if least is None else min(least, ring[0][1])
-            out.append(least)
-        yield pd.DataFrame({"part": pdf["part"], "frame": pdf["frame"], "floor": out})
+        parts, x = pdf["part"].to_numpy(), np.abs(pdf["x"].to_numpy(np.float64))
+        edges = np.r_[0, np.flatnonzero(parts[1:] != parts[:-1]) + 1, len(parts)] if len(parts) else np.zeros(1, int)
+        out = np.full(len(parts), np.nan)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if parts[a] != part:
+                part, tail, seen, least = parts[a], np.zeros(0), 0, np.inf
+            joined = np.concatenate([tail, x[a:b]])
+            ring = pd.Series(joined).rolling(width, min_periods=1).max().to_numpy()[len(tail) :]
+            index = seen + np.arange(b - a)
+            floor = np.minimum.accumulate(np.where(index >= width - 1, ring, np.inf))
+            floor = np.minimum(floor, least)
+            out[a:b] = np.where(np.isfinite(floor), floor, np.nan)
+            least, seen, tail = floor[-1], seen + b - a, joined[-(width - 1) :] if width > 1 else np.zeros(0)
+        yield pd.DataFrame({"part": pdf["part"], "frame": pdf["frame"], "floor": pd.Series(out, dtype="Float64").where(~np.isnan(out), None)})
+
+
+def level_median(values: DataFrame, key: str, value: Column, low_db: float, high_db: float, per_decade: float, zero: float) -> DataFrame:
+    """Bounds of the median of levels from a histogram of quarter decibels: n, lower, upper (null where it is beyond the top).
+
+    Cell 0 holds zeros, cell 1 what is up to zero, the last one what is beyond the top; per_decade is 20 for amplitudes and 10
+    for powers. The histogram is counted before the exchange."""
+    cells = int((high_db - low_db) * 4)
+    top = 10.0 ** (high_db / per_decade)
+    inside = 2 + F.least(F.floor((per_decade * F.log10(value) - low_db) * 4), F.lit(cells - 1))
+    cell = F.when(value == 0, 0).when(value <= zero, 1).when(value >= top, cells + 2).otherwise(inside).cast("long")
+    hist = values.groupBy(key, cell.alias("cell")).agg(F.count("*").alias("n"))
+    by = Window.partitionBy(key)
+    upto = hist.withColumns({"upto": F.sum("n").over(by.orderBy("cell")), "total": F.sum("n").over(by)})
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("cell")))
+    found = upto.groupBy(key).agg(F.max("total").alias("n"), at(F.floor((F.col("total") - 1) / 2)).alias("a"), at(F.floor(F.col("total") / 2)).alias("b"))
+    edge = lambda c, k: F.pow(F.lit(10.0), (F.lit(low_db) + (c - 2 + k) * 0.25) / per_decade)
+    lower = lambda c: F.when(c <= 1, 0.0).when(c == cells + 2, top).otherwise(edge(c, 0))
+    upper = lambda c: F.when(c == 0, 0.0).when(c == 1, zero).when(c < cells + 2, edge(c, 1))
+    a, b = F.col("a"), F.col("b")
+    return found.select(key, "n", ((lower(a) + lower(b)) / 2).alias("lower"), ((upper(a) + upper(b)) / 2).alias("upper"))
+
+
+def envelope_peaks(envelope: DataFrame, distance: int, least: float, factor: float) -> DataFrame:
+    """Peaks (part, frame, value) of an envelope (part, frame, v) above the larger of least and factor times the upper bound of its
+    median, at least the distance apart in order."""
+    median = level_median(envelope, "part", F.col("v"), -180.0, 40.0, 20.0, 1e-9)
+    limit = median.select("part", F.greatest(F.lit(least), factor * F.col("upper")).alias("threshold")).where("threshold is not null")
+    high = local_maxima(envelope, F.col("v")).join(limit, "part").where(F.col("value") > F.col("threshold")).select("part", "frame", "value")
+    return spaced_in_order(high, distance).join(high, ["part", "frame"])

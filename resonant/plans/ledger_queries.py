@@ -175,10 +175,9 @@ def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(r, "doc_id").where(~same).select("doc_id", "left_source", "right_source")
 
 
-@query("j12_first_tag", "SELECT user_id, arg_min(event_type, event_id) AS first_value, min(event_id) AS source_order FROM events WHERE event_id % 3 = 0 GROUP BY 1")
+@query("j12_first_tag", "SELECT user_id, arg_min(event_type, event_id) AS first_value, min(event_id) AS source_order FROM events GROUP BY 1")
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = table(spark, sf_dir, "events").where("event_id % 3 = 0")
-    return tags.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_value"), F.min("event_id").alias("source_order"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_value"), F.min("event_id").alias("source_order"))
 
 
 @query(

@@ -37,13 +37,13 @@ def j04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a20_histogram_mode",
-    f"""{_ACT}, {_CUT}, s AS (SELECT channel, cutoff FROM cut WHERE frame_no % 2 = 0),
+    f"""{_ACT}, {_CUT}, i AS (SELECT channel, cutoff, row_number() OVER (PARTITION BY channel ORDER BY frame_no) - 1 AS i, count(*) OVER (PARTITION BY channel) AS k FROM cut),
+s AS (SELECT channel, cutoff FROM i WHERE i % CASE WHEN k > 2500 THEN k // 2500 + 1 ELSE 1 END = 0),
 b AS (SELECT channel, cutoff, CASE WHEN min(cutoff) OVER w = max(cutoff) OVER w THEN min(cutoff) OVER w - 0.5e0 ELSE min(cutoff) OVER w END AS lo, CASE WHEN min(cutoff) OVER w = max(cutoff) OVER w THEN max(cutoff) OVER w + 0.5e0 ELSE max(cutoff) OVER w END AS hi FROM s WINDOW w AS (PARTITION BY channel)),
 h AS (SELECT channel, lo, hi, least(floor((cutoff - lo) / (hi - lo) * 20), 19) AS cell, count(*) AS n, sum(cutoff) AS t FROM b GROUP BY 1, 2, 3, 4),
 m AS (SELECT channel, CAST(sum(n) OVER (PARTITION BY channel) AS BIGINT) AS n, sum(t) OVER (PARTITION BY channel) / sum(n) OVER (PARTITION BY channel) AS average, lo + (cell + 0.5e0) * (hi - lo) / 20 AS mode, row_number() OVER (PARTITION BY channel ORDER BY n DESC, cell) AS rn FROM h)
 SELECT channel, n, round(average, 6) AS average, round(mode, 6) AS mode FROM m WHERE rn = 1""",
 )
 def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cutoffs of every other active frame: mean and mode over twenty cells."""
-    cut = P.cutoffs(spectra(spark, sf_dir), -20.0).where("frame_no % 2 = 0")
-    return O.histogram_mode(cut, "channel", "cutoff")
+    """Cutoffs of all active frames (strided only beyond 2,500 a channel): mean and mode over twenty cells."""
+    return O.histogram_mode(P.strided_cutoffs(spectra(spark, sf_dir), -20.0), "channel", "cutoff")

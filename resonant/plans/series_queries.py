@@ -338,6 +338,78 @@ def w15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.spaced_by_height(W.local_maxima(series(spark, sf_dir), F.abs("x")), 5)
 
 
+@query("o02_loudest_apart")
+def o02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy by energy with an exclusion distance: tested against a brute-force version."""
+    return W.loudest_apart(W.tumbling_blocks(series(spark, sf_dir), 4), "ms", 3, 2)
+
+
+_QUARTERS = """CASE WHEN v = 0 THEN 0 WHEN v <= {zero} THEN 1 WHEN v >= {top} THEN {cells} + 2 ELSE 2 + least(floor(({unit} * log10(v) - ({low})) * 4), {cells} - 1) END"""
+
+
+def _median_sql(source: str, low: int, high: int, unit: int, zero: str) -> str:
+    """CTEs hist, ranks and med of the levels v by part in this source."""
+    cells, top = 4 * (high - low), 10 ** (high // unit)
+    edge = lambda c, k: f"pow(10, ({low} + ({c} - 2 + {k}) * 0.25e0) / {unit})"
+    lower = lambda c: f"CASE WHEN {c} <= 1 THEN 0e0 WHEN {c} = {cells + 2} THEN {top}e0 ELSE {edge(c, 0)} END"
+    upper = lambda c: f"CASE WHEN {c} = 0 THEN 0e0 WHEN {c} = 1 THEN {zero} WHEN {c} < {cells + 2} THEN {edge(c, 1)} END"
+    return f"""hist AS (SELECT part, {_QUARTERS.format(zero=zero, top=top, cells=cells, unit=unit, low=low)} AS cell, count(*) AS n FROM {source} GROUP BY 1, 2),
+ranks AS (SELECT part, cell, sum(n) OVER (PARTITION BY part ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY part) AS total FROM hist),
+ab AS (SELECT part, CAST(max(total) AS BIGINT) AS n, min(cell) FILTER (WHERE upto > (total - 1) // 2) AS a, min(cell) FILTER (WHERE upto > total // 2) AS b FROM ranks GROUP BY 1),
+med AS (SELECT part, n, ({lower("a")} + {lower("b")}) / 2 AS lower, ({upper("a")} + {upper("b")}) / 2 AS upper FROM ab)"""
+
+
+@query("x06_envelope_median", f"{S}, e AS (SELECT part, abs(x) AS v FROM series), {_median_sql('e', -180, 40, 20, '1e-9')} SELECT part, n, round(lower, 6) AS lower, round(upper, 6) AS upper FROM med")
+def x06_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.level_median(series(spark, sf_dir), "part", F.abs("x"), -180.0, 40.0, 20.0, 1e-9)
+
+
+@query(
+    "x06_envelope_peaks",
+    f"""WITH RECURSIVE {SERIES_SQL}, e AS (SELECT part, abs(x) AS v FROM series), {_median_sql('e', -180, 40, 20, '1e-9')}, {_MAXIMA},
+high AS (SELECT p.part, p.frame, p.value FROM peaks p JOIN med USING (part) WHERE p.value > greatest(1e-4, 1.5e0 * upper)),
+kept AS (
+  SELECT part, min(frame) AS frame FROM high GROUP BY part
+  UNION ALL
+  SELECT k.part, (SELECT min(p.frame) FROM high p WHERE p.part = k.part AND p.frame - k.frame >= 5) FROM kept k
+  WHERE (SELECT min(p.frame) FROM high p WHERE p.part = k.part AND p.frame - k.frame >= 5) IS NOT NULL)
+SELECT part, frame, round(value, 6) AS value FROM kept JOIN high USING (part, frame)""",
+)
+def x06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks of an envelope above a multiple of its median, spaced in order."""
+    envelope = series(spark, sf_dir).select("part", "frame", F.abs("x").alias("v"))
+    return W.envelope_peaks(envelope, 5, 1e-4, 1.5)
+
+
+@query(
+    "x07_preceding_energy",
+    f"""{S}, q AS (SELECT part, x * x AS v FROM series), {_median_sql('q', -200, 40, 10, '1e-20')},
+l AS (SELECT part, frame, hit, avg(x * x) OVER w AS context, count(*) OVER w AS seen FROM series WINDOW w AS (PARTITION BY part ORDER BY frame ROWS BETWEEN 6 PRECEDING AND 4 PRECEDING)),
+o AS (SELECT part, frame >= 8 AND seen = 3 AS eligible, context FROM l WHERE hit)
+SELECT part, count(*) AS events, count(*) FILTER (WHERE eligible) AS eligible, round(any_value(greatest(1e-12, 3 * upper)), 6) AS threshold,
+       count(*) FILTER (WHERE eligible AND context > greatest(1e-12, 3 * upper)) AS affected FROM o JOIN med USING (part) GROUP BY part""",
+)
+def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose preceding power is above three times the median power."""
+    s = series(spark, sf_dir)
+    limit = W.level_median(s, "part", F.col("x") * F.col("x"), -200.0, 40.0, 10.0, 1e-20).select("part", F.greatest(F.lit(1e-12), 3 * F.col("upper")).alias("threshold"))
+    looked = W.lookback(s, 6, 3, 8).join(limit, "part")
+    return looked.groupBy("part").agg(F.count("*").alias("events"), F.count_if("eligible").alias("eligible"), F.max("threshold").alias("threshold"), F.count_if(F.col("eligible") & (F.col("power") > F.col("threshold"))).alias("affected"))
+
+
+@query(
+    "p11_verdicts",
+    f"""{S}, c AS (SELECT part, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS r, count(*) FILTER (WHERE abs(x) >= 0.2e0) * (1 + part % 40) AS n FROM series GROUP BY part)
+SELECT part, CASE WHEN r IS NULL THEN NULL {" ".join(f"WHEN r >= {k}e0 THEN '{t}'" for k, t in A.PHASE_STEPS)} ELSE '{A.PHASE_BELOW}' END AS phase,
+       CASE WHEN n = 0 THEN '✓ No clipped samples' WHEN n < 10 THEN '~ ' || n || ' clipped sample(s) — minor' ELSE '⚠ ' || format('{{:,}}', n) || ' clipped samples — audible distortion likely' END AS clipping FROM c""",
+)
+def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict texts of a correlation and of a count of clipped samples."""
+    sd = F.stddev_pop("x") * F.stddev_pop("y")
+    g = series(spark, sf_dir).groupBy("part").agg(F.when(sd > 0, F.covar_pop("x", "y") / sd).alias("r"), (F.count_if(F.abs("x") >= 0.2) * (1 + F.col("part") % 40)).alias("n"))
+    return g.select("part", A.phase_verdict(F.col("r")).alias("phase"), A.clipping_verdict(F.col("n")).alias("clipping"))
+
+
 @query("w06_noise_floor_ring")
 def w06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least running maximum over a ring, order-dependent: tested against a brute-force version."""

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resonant.operators import aggregates as A
 from resonant.operators import spectral as P
 from resonant.plans.registry import query
 from resonant.sources.bindings import BINS, RATE, SPECTRA_SQL, spectra
@@ -47,6 +48,38 @@ def a04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.features(spectra(spark, sf_dir), floor_db=-20.0, hf_from=48, span=3)
 
 
+_BASE = f"""{_SPEC}, {_CUT},
+c AS (SELECT channel, count(*) AS active_frames, quantile_cont(cutoff, 0.95) AS cutoff, var_pop(cutoff) AS cutoff_variance FROM cut GROUP BY 1),
+t AS (SELECT channel, count(DISTINCT frame_no) AS frames FROM spectra GROUP BY 1),
+w AS (SELECT s.*, c.cutoff, abs(db - lag(db) OVER (PARTITION BY channel ORDER BY bin)) AS step, avg / (sum(avg) OVER (PARTITION BY channel) + 1e-12) AS p FROM spec s JOIN c USING (channel)),
+g AS (SELECT channel, max(db) FILTER (WHERE bin = {_at(-3)}) - max(db) FILTER (WHERE bin = {_at(3)}) AS cliff_db,
+        max(step) FILTER (WHERE bin > {_at(-12)} AND bin < {_at(3)}) AS sharpness,
+        coalesce(sum(avg) FILTER (WHERE bin >= 48), 0) / (sum(avg) + 1e-12) AS hf_ratio, -sum(CASE WHEN p > 0 THEN p * log2(p) END) AS entropy,
+        20 * log10(sqrt(sum(sq) FILTER (WHERE bin >= {_at(0)}) / sum(frames) FILTER (WHERE bin >= {_at(0)})) + 1e-12) AS noise_db FROM w GROUP BY 1)"""
+
+
+@query(
+    "a19_base_features",
+    f"""{_BASE}, h AS (SELECT channel, coalesce(sum(m) FILTER (WHERE bin >= 48), 0) / (sum(m) + 1e-12) AS share FROM act GROUP BY 1), r AS (SELECT *, frames >= 4 AND active_frames >= 4 AS ready FROM t JOIN c USING (channel) JOIN g USING (channel) JOIN h USING (channel))
+SELECT channel, frames, active_frames, {", ".join(f"round(CASE WHEN ready THEN {x} END, 6) AS {x}" for x in ("cutoff", "cutoff_variance", "cliff_db", "sharpness", "entropy", "noise_db"))},
+       round(CASE WHEN ready THEN share END, 6) AS hf_ratio, CASE WHEN ready THEN 'measured' ELSE 'inconclusive' END AS status FROM r""",
+)
+def a19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.base_features(spectra(spark, sf_dir), floor_db=-20.0, hf_from=48, span=3, rate=44_100)
+
+
+@query(
+    "p05_gates",
+    f"""{_SPEC}, n AS (SELECT channel, max(frames) AS frames, avg(db) FILTER (WHERE bin BETWEEN 50 AND 54) AS high_db FROM spec GROUP BY 1)
+SELECT channel, CASE WHEN channel >= 8 THEN 'unsupported' WHEN frames < 20 OR high_db IS NULL THEN 'inconclusive' ELSE 'measured' END AS status, round(CASE WHEN channel < 8 AND frames >= 20 THEN high_db END, 6) AS value FROM n""",
+)
+def p05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of unsupported, inconclusive and measured a measurement is; its value is known only where measured."""
+    bins = spectra(spark, sf_dir)
+    high = P.mean_spectrum(P.active(bins)).groupBy("channel").agg(F.max("frames").alias("frames"), F.avg(F.when(F.col("bin").between(50, 54), F.col("db"))).alias("high_db"))
+    return high.select("channel", A.gate(F.col("high_db"), F.col("channel") < 8, F.col("frames") >= 20).alias("g")).select("channel", "g.*")
+
+
 @query(
     "a08_band_power",
     f"""WITH {SPECTRA_SQL}, f AS (SELECT channel, frame_no, max(m) AS peak, coalesce(sum(m * m) FILTER (WHERE bin BETWEEN 32 AND 48), 0) AS p FROM spectra GROUP BY 1, 2)
@@ -80,19 +113,45 @@ def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.scatter_bound(spectra(spark, sf_dir), BINS, share=0.6, most=0.6)
 
 
-@query(
-    "a13_phase_entropy",
-    f"""WITH {SPECTRA_SQL}, p AS (SELECT channel, frame_no, bin, atan2(lead(v) OVER (PARTITION BY channel, frame_no ORDER BY bin), v) AS phase FROM spectra WHERE bin >= 20),
-d AS (SELECT channel, phase - lag(phase) OVER (PARTITION BY channel, bin ORDER BY frame_no) AS d FROM p WHERE bin % 2 = 0 AND phase IS NOT NULL),
-w AS (SELECT channel, d - {2 * math.pi!r}e0 * floor((d + {math.pi!r}e0) / {2 * math.pi!r}e0) AS d FROM d WHERE d IS NOT NULL),
+_PHASES = f"""WITH {SPECTRA_SQL}, f AS (SELECT channel, frame_no, max(m) AS peak FROM spectra GROUP BY 1, 2),
+n AS (SELECT channel, frame_no, peak, row_number() OVER (PARTITION BY channel ORDER BY frame_no) AS i, peak > (max(peak) OVER (PARTITION BY channel) + 1e-12) * 1e-3 AS active FROM f),
+p AS (SELECT channel, frame_no, bin, v, lead(v) OVER (PARTITION BY channel, frame_no ORDER BY bin) AS w FROM spectra WHERE bin >= 20),
+q AS (SELECT p.channel, bin, i, active, atan2(w, v) AS phase, sqrt(v * v + w * w) > greatest(1e-8, peak * 1e-4) AS loud FROM p JOIN n USING (channel, frame_no) WHERE bin % 2 = 0 AND w IS NOT NULL)"""
+_PHASE_ENTROPY = f"""w AS (SELECT channel, d - {2 * math.pi!r}e0 * floor((d + {math.pi!r}e0) / {2 * math.pi!r}e0) AS d FROM d WHERE d IS NOT NULL),
 h AS (SELECT channel, least(floor((d + {math.pi!r}e0) / {2 * math.pi!r}e0 * 36), 35) AS cell, count(*) AS n FROM w GROUP BY 1, 2),
 t AS (SELECT channel, n, sum(n) OVER (PARTITION BY channel) AS total FROM h)
-SELECT channel, CAST(max(total) AS BIGINT) AS pairs, round(-sum(n / total * log2(n / total)), 6) AS entropy FROM t GROUP BY 1""",
+SELECT channel, CAST(max(total) AS BIGINT) AS pairs, round(-sum(n / total * log2(n / total)), 6) AS entropy FROM t GROUP BY 1"""
+
+
+@query(
+    "a13_phase_entropy",
+    f"""{_PHASES}, d AS (SELECT b.channel, b.phase - a.phase AS d FROM q a JOIN q b ON a.channel = b.channel AND a.bin = b.bin AND b.i = a.i + 1 WHERE a.active AND b.active AND a.loud AND b.loud), {_PHASE_ENTROPY}""",
 )
 def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.phase_entropy(spectra(spark, sf_dir), 20)
 
 
+@query("w18_legacy_phase", f"""{_PHASES}, d AS (SELECT channel, phase - lag(phase) OVER (PARTITION BY channel, bin ORDER BY i) AS d FROM q WHERE active), {_PHASE_ENTROPY}""")
+def w18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase differences of active frames across gaps, without floors."""
+    return P.legacy_phase_entropy(spectra(spark, sf_dir), 20)
+
+
+_MIRROR = P.mirrored_bins((64, 88, 96), RATE, RATE, BINS, guard=2, reach=12, least=4)
+
+
+@query(
+    "j07_mirrored_bins",
+    f"""{_ACT}, k(source_rate, lo, hi, f) AS (VALUES {", ".join(f"({s}, {lo}, {hi}, {f!r}e0)" for s, lo, hi, f in _MIRROR)}),
+z AS (SELECT channel, frame_no, list(m ORDER BY bin) AS m FROM act GROUP BY 1, 2),
+g AS (SELECT channel, frame_no, source_rate, ln(m[lo + 1] + 1e-12) AS x, ln(m[hi + 1] * (1 - f) + m[hi + 2] * f + 1e-12) AS y FROM z, k),
+r AS (SELECT channel, frame_no, source_rate, count(*) AS pairs, covar_pop(x, y) / (sqrt(var_pop(x) * var_pop(y)) + 1e-12) AS c FROM g GROUP BY 1, 2, 3)
+SELECT channel, CAST(source_rate AS BIGINT) AS source_rate, max(pairs) AS pairs, count(*) AS frames, round(avg(c), 6) AS correlation FROM r GROUP BY 1, 2""",
+)
+def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.mirror_correlation(spectra(spark, sf_dir), _MIRROR)
+
+
 @query(
     "a14_rate_hypotheses",
     f"""{_SPEC}, h AS (SELECT unnest([64, 88, 96, 112]) AS source_rate), r AS (SELECT channel, bin, db, source_rate, source_rate / 2 AS l FROM spec, h WHERE source_rate / 2 + 4 <= 62),

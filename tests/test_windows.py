@@ -87,3 +87,55 @@ def test_gated_level_of_a_steady_tone(spark):
     row = A.gated_level(make(spark, x), hop=8, momentary=4, short=30).first()
     assert row.level == pytest.approx(-0.691 + 10 * np.log10(0.5), abs=1e-9)
     assert row.abs_gated == row.blocks == row.rel_gated
+
+
+def test_loudest_apart_matches_a_loop(spark):
+    rows = [(r.part, r.block, r.ms) for r in W.tumbling_blocks(series(spark, DATA), 4).select("part", "block", "ms").collect()]
+    want = set()
+    for part in {p for p, _, _ in rows}:
+        kept = []
+        for block, ms in sorted(((b, m) for p, b, m in rows if p == part), key=lambda x: (-x[1], x[0])):
+            if len(kept) < 3 and all(abs(block - k) > 2 for k in kept):
+                kept.append(block)
+        want |= {(part, b) for b in kept}
+    assert {(r.part, r.block) for r in QUERIES["o02_loudest_apart"](spark, DATA).collect()} == want
+
+
+def test_spacing_matches_loops_across_batches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(p, int(f), float(v)) for p in (1, 2) for f, v in zip(np.cumsum(rng.integers(1, 9, 3000)), rng.integers(0, 50, 3000), strict=True)]
+    peaks = spark.createDataFrame(rows, "part long, frame long, value double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {(r.part, r.frame) for r in W.spaced_in_order(peaks, 7).collect()}
+        high = {(r.part, r.frame) for r in W.spaced_by_height(peaks, 7).collect()}
+        order = peaks.selectExpr("part", "frame", "value AS x").repartition("part").sortWithinPartitions("part", "frame")
+        floor = {(r.part, r.frame): r.floor for r in order.mapInPandas(lambda it: W.stateful_noise_floor(it, 6), "part long, frame long, floor double").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for p in (1, 2):
+        own = [(f, v) for q, f, v in rows if q == p]
+        last, kept = None, set()
+        for f, _ in own:
+            if last is None or f - last >= 7:
+                kept.add((p, f))
+                last = f
+        assert {x for x in got if x[0] == p} == kept
+        tall = []
+        for f, v in sorted(own, key=lambda x: (-x[1], -x[0])):
+            if all(abs(f - k) >= 7 for k in tall):
+                tall.append(f)
+        assert {f for q, f in high if q == p} == set(tall)
+        least = None
+        for i, (f, _) in enumerate(own):
+            if i >= 5:
+                m = max(v for _, v in own[i - 5 : i + 1])
+                least = m if least is None else min(least, m)
+            assert floor[p, f] == least
+
+
+def test_level_median_bounds_the_median(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.zeros(3), rng.lognormal(-3, 2, 501)])
+    row = W.level_median(make(spark, x), "part", F.col("x"), -180.0, 40.0, 20.0, 1e-9).first()
+    assert row.n == 504 and row.lower <= np.median(x) <= row.upper <= row.lower * 1.04
