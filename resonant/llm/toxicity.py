@@ -122,6 +122,45 @@ def _one_of_each(h: np.ndarray, doc: np.ndarray, n: int, hashes: int = 16, same:
     return keep
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+
+
+@dataclass
+class Sample:
+    """Presence of features in documents: feature and document of each pair, and how many documents there are."""
+
+    feature: np.ndarray
+    doc: np.ndarray
+    size: int
+
+    def logits(self, w: np.ndarray, b: float) -> np.ndarray:
+        return b + np.bincount(self.doc, weights=w[self.feature], minlength=self.size)
+
+    def gradient(self, by_doc: np.ndarray, features: int) -> np.ndarray:
+        return np.bincount(self.feature, weights=by_doc[self.doc], minlength=features)
+
+
+def risks(w: np.ndarray, b: float, positive: Sample, unlabelled: Sample, prior: float) -> tuple[float, float]:
+    """The positives' risk p * E_pos[l(f)] and the negatives' E_unl[l(-f)] - p * E_pos[l(-f)]."""
+    zp, zu = positive.logits(w, b), unlabelled.logits(w, b)
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
+def direction(w: np.ndarray, b: float, positive: Sample, unlabelled: Sample, prior: float, beta: float, gamma: float, l2: float) -> np.ndarray:
+    """The gradient that a step goes down, weights first, then the bias: that of both risks, or, where the negatives' is below
+    -beta, gamma times the way up that one."""
+    zp, zu = positive.logits(w, b), unlabelled.logits(w, b)
+    pos = -prior * (1 - _sigmoid(zp)) / positive.size  # of p * l(f) on the positives
+    neg_p = -prior * _sigmoid(zp) / positive.size
+    neg_u = _sigmoid(zu) / unlabelled.size
+    if risks(w, b, positive, unlabelled, prior)[1] < -beta:
+        gp, gu = -gamma * neg_p, -gamma * neg_u
+    else:
+        gp, gu = pos + neg_p, neg_u
+    return np.r_[positive.gradient(gp, len(w)) + unlabelled.gradient(gu, len(w)) + l2 / positive.size * w, gp.sum() + gu.sum()]
+
+
 def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, steps: int = 400, rate: float = 0.05, l2: float = 0.01, beta: float = 0.0, gamma: float = 1.0) -> Model:
     """Weights that minimise the non-negative risk estimate, by Adam on all sampled rows."""
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -50.0, prior)
@@ -145,21 +184,11 @@ def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, steps: in
     keys = keys[keep]
     fp, dp = _known(keys, hp, dp)
     fu, du = _joined(_known(keys, h, d) for h, d in _presence(unlabelled))
+    pos, unl = Sample(fp, dp, len(positive)), Sample(fu, du, len(unlabelled))
     w, b = np.zeros(len(keys)), -2.0
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
     for step in range(1, steps + 1):
-        zp = b + np.bincount(dp, weights=w[fp], minlength=len(positive))
-        zu = b + np.bincount(du, weights=w[fu], minlength=len(unlabelled))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_pos = -prior * (1 - sigmoid(zp)) / len(positive)  # of p * l(f) on the positives
-        g_neg_p = -prior * sigmoid(zp) / len(positive)
-        g_neg_u = sigmoid(zu) / len(unlabelled)
-        if negative < -beta:
-            gp, gu = -gamma * g_neg_p, -gamma * g_neg_u
-        else:
-            gp, gu = g_pos + g_neg_p, g_neg_u
-        grad = np.r_[np.bincount(fp, weights=gp[dp], minlength=len(keys)) + np.bincount(fu, weights=gu[du], minlength=len(keys)) + l2 / len(positive) * w, gp.sum() + gu.sum()]
+        grad = direction(w, b, pos, unl, prior, beta, gamma, l2)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]

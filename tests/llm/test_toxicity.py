@@ -1,14 +1,17 @@
 """The risk estimate stays non-negative, planted words are learned from positives and unlabelled text alone."""
 
+import math
 import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from resonant.llm import toxicity as X
 from resonant.llm.common import text_arrays
+from tests.conftest import DATA
 
 
 def make(n, share, seed, stems=("vile", "grubby")):
@@ -84,3 +87,48 @@ def test_the_sample_counts_distinct_texts(spark, monkeypatch):
     docs = spark.range(400_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), (F.col("id") % 5).cast("string")).alias("text"))
     X.fit(docs, docs.select("doc_id", F.lit(1).alias("toxic")), max_positive=100, max_unlabelled=100)
     assert seen == [([f"word {i}" for i in range(5)],) * 2]
+
+
+def plain_risks(w, b, positive, unlabelled, prior):
+    """Both risks document by document, without arrays."""
+    loss = lambda z: math.log1p(math.exp(-z)) if z > -30 else -z
+    score = lambda doc: b + sum(w[f] for f in doc)
+    pos = prior * sum(loss(score(d)) for d in positive) / len(positive)
+    return pos, sum(loss(-score(d)) for d in unlabelled) / len(unlabelled) - prior * sum(loss(-score(d)) for d in positive) / len(positive)
+
+
+@pytest.mark.parametrize("prior, shift", [(0.2, 0.0), (0.9, 4.0)])
+def test_risk_and_gradient_match_a_plain_version(prior, shift):
+    rng = np.random.default_rng(7)
+    docs = lambda n, p: [sorted(set(np.flatnonzero(rng.random(9) < p).tolist())) for _ in range(n)]
+    positive, unlabelled = docs(14, 0.5), docs(31, 0.2)
+    sample = lambda rows: X.Sample(np.array([f for d in rows for f in d], np.int64), np.array([i for i, d in enumerate(rows) for _ in d], np.int64), len(rows))
+    pos, unl = sample(positive), sample(unlabelled)
+    w, b = rng.normal(shift, 1, 9), float(shift) - 1
+    want = plain_risks(w, b, positive, unlabelled, prior)
+    assert np.allclose(X.risks(w, b, pos, unl, prior), want)
+    beta, gamma = 0.0, 0.5
+    corrected = want[1] < -beta
+    assert corrected == (shift > 0)
+
+    def goes_down(x):
+        p, n = plain_risks(x[:-1], x[-1], positive, unlabelled, prior)
+        return -gamma * n if corrected else p + n
+
+    x, step = np.r_[w, b], 1e-6
+    slope = [(goes_down(x + step * e) - goes_down(x - step * e)) / (2 * step) for e in np.eye(10)]
+    assert np.allclose(X.direction(w, b, pos, unl, prior, beta, gamma, 0.0), slope, atol=1e-7)
+
+
+def test_scores_of_the_tables_match_a_loop(spark):
+    """The whole query against sums of weights over sets of features, one document at a time."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
+    model = X.fit(docs, labels)
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in X.classify(docs, labels).collect()}
+    for r in docs.collect():
+        data, offs = text_arrays(pa.array([r.text], pa.string()))
+        h, _ = X.features(data, offs)
+        score = 1 / (1 + math.exp(-(model.bias + sum(weight.get(x, 0.0) for x in set(h.tolist())))))
+        assert got[r.doc_id][0] == pytest.approx(score, abs=1e-9) and got[r.doc_id][1] == (got[r.doc_id][0] >= 0.5)
+        assert got[r.doc_id][2] == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
