@@ -6,8 +6,8 @@ item, so copies with replaced, inserted or dropped words are found and a chance
 score is the best local alignment divided by the item's alignment with itself; from least_score on the item counts as
 contained in the document.
 
-Items are handled in blocks of block_items, a documented bound under which a block is broadcast; more items mean more
-passes over the documents, never a larger broadcast. Documents are never shuffled, so a passage shared by many of
+Items are handled in blocks of block_items and about block_bytes, documented bounds under which a block is broadcast; more
+or longer items mean more passes over the documents, never a larger broadcast. Documents are never shuffled, so a passage shared by many of
 them is no hot key.
 
 Words are runs of bytes other than ASCII punctuation and blanks, lower-cased A-Z. Defined cases: items with a null id or
@@ -36,6 +36,8 @@ MIN_WORDS = 5
 LEAST_SCORE = 0.4
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 BLOCK_ITEMS = 10_000
+#: Bytes of items in a block, about; a longer item is a block of its own size.
+BLOCK_BYTES = 16_000_000
 
 
 def smith_waterman(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
@@ -170,8 +172,9 @@ def align(items: Items, words: np.ndarray, counts: np.ndarray, least: float) ->
             yield r, k, best[0] / (MATCH * len(own)), best[1], best[2]
 
 
-def _blocks(bench: DataFrame, block_items: int) -> int:
-    return max(1, math.ceil(bench.count() / block_items))
+def _blocks(bench: DataFrame, block_items: int, block_bytes: int = BLOCK_BYTES) -> int:
+    n, size = bench.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return max(1, math.ceil(n / block_items), math.ceil((size or 0) / block_bytes))
 
 
 def seeds(docs: DataFrame, bench: DataFrame, block: int, blocks: int, share: float = SEED_SHARE) -> Items:
