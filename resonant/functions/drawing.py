@@ -48,3 +48,27 @@ def section_text(start: Column, end: Column, at_end: Column) -> Column:
 def six_digits(value: float) -> str:
     """A number with six significant digits, as short as it goes."""
     return f"{value:.6g}"
+
+
+def six_digit_text(value: Column) -> Column:
+    """The same as a column: fixed notation from 1e-4 up to a million, else with an exponent of two digits; no closing zeros."""
+    size = F.abs(value)
+    # rounding to six digits can carry into the next power
+    scaled = F.format_string("%.5e", value)
+    power = F.when(size > 0, F.regexp_extract(scaled, r"e([+-]\d+)$", 1).cast("int")).otherwise(F.lit(0))
+    trimmed = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    fixed = F.lit(None).cast("string")
+    for k in range(-4, 6):
+        fixed = F.when(power == k, F.format_string(f"%.{5 - k}f", value)).otherwise(fixed)
+    mantissa = trimmed(F.regexp_extract(scaled, r"^(.*)e", 1))
+    tail = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when(value.isNull(), F.lit(None).cast("string")).when(value == 0, "0").when(power.between(-4, 5), trimmed(fixed)).otherwise(F.concat(mantissa, tail))
+
+
+def tick_list(most: Column) -> Column:
+    """The same as ticks() as a column, for a positive end."""
+    target = most / 6
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(target)))
+    step = F.when(target <= scale, scale).when(target <= 2 * scale, 2 * scale).when(target <= 5 * scale, 5 * scale).otherwise(10 * scale)
+    inner = F.filter(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: i * step), lambda v: (v < most) & (most - v >= 0.3 * step))
+    return F.concat(F.array(F.lit(0.0)), inner, F.array(most))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from resonant.operators.metadata import is_digest
+
 # Family to evidence domain, and detector id to pattern name.
 DOMAINS = {
     "spectral_wall": "spectral_patterns", "spectral_measurements": "spectral_patterns", "spectral_structure": "spectral_patterns",
@@ -81,6 +83,23 @@ def leaked_hashes(rows: DataFrame, group: str, digest: str) -> DataFrame:
     return rows.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.countDistinct(group).alias("groups"), F.count("*").alias("rows")).where("groups > 1")
 
 
+def submissions(cases: DataFrame, reports: DataFrame) -> DataFrame:
+    """id, accepted and reason of every report (id, binding, pcm_hash, seq) for the cases (id, source_group, binding, pcm_hash).
+
+    A report needs a case, must be its first one, be bound as the case is and have its digest, and the digest must not be one
+    that cases of another group expect. All at once, by joins and one ordered window; the first reason that holds counts."""
+    expected = cases.where("pcm_hash is not null").select("source_group", "pcm_hash").distinct()
+    shared = expected.groupBy("pcm_hash").agg(F.count("*").alias("groups")).where("groups > 1").select("pcm_hash", F.lit(True).alias("leaked"))
+    own = cases.select("id", F.col("binding").alias("case_binding"), F.col("pcm_hash").alias("case_hash"), F.lit(True).alias("known")).dropDuplicates(["id"])
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("seq"))
+    r = reports.withColumn("nth", nth).join(own, "id", "left").join(shared, "pcm_hash", "left")
+    reason = (
+        F.when(F.col("known").isNull(), "unknown case").when(F.col("nth") > 1, "submitted before").when(~F.col("binding").eqNullSafe(F.col("case_binding")), "binding")
+        .when(~F.coalesce(is_digest(F.col("pcm_hash")), F.lit(False)), "invalid hash").when(F.col("case_hash").isNotNull() & (F.col("case_hash") != F.col("pcm_hash")), "other hash").when(F.col("leaked"), "hash of another group")
+    )
+    return r.select("id", "seq", reason.isNull().alias("accepted"), reason.alias("reason"))
+
+
 def slot_problems(expected: DataFrame, detectors: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Expected slots that don't occur exactly once."""
     counts = detectors.groupBy(*keys).agg(F.count("*").alias("n"))

@@ -64,3 +64,46 @@ def s13_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("k", T.LongType())])
     bad = reports.violations(table(spark, sf_dir, "events").select(json.alias("json")), "json", shape)
     return bad.select(F.get_json_object("json", "$.event_id").cast("long").alias("event_id"), "problem")
+
+
+@query("f08_six_digits", "SELECT event_id, printf('%g', v) AS text FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value * pow(10, event_id % 17 - 8) WHEN event_id % 50 = 1 THEN 0e0 ELSE -value END AS v FROM events)")
+def f08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers with six significant digits."""
+    i = F.col("event_id")
+    v = F.when(i % 3 == 0, F.col("value") * F.pow(F.lit(10.0), i % 17 - 8)).when(i % 50 == 1, 0.0).otherwise(-F.col("value"))
+    return table(spark, sf_dir, "events").select("event_id", drawing.six_digit_text(v).alias("text"))
+
+
+@query(
+    "f09_ticks",
+    """WITH t AS (SELECT o_orderkey AS key, o_totalprice AS most, pow(10, floor(log10(o_totalprice / 6))) AS scale FROM orders WHERE o_totalprice > 0),
+s AS (SELECT key, most, CASE WHEN most / 6 <= scale THEN scale WHEN most / 6 <= 2 * scale THEN 2 * scale WHEN most / 6 <= 5 * scale THEN 5 * scale ELSE 10 * scale END AS step FROM t)
+SELECT key, array_to_string(list_transform(list_concat([0e0], list_filter(list_transform(range(1, 8), lambda i: i * step), lambda v: v < most AND most - v >= 0.3e0 * step), [most]), lambda v: printf('%.2f', v)), ' ') AS ticks FROM s""",
+)
+def f09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Axis ticks of each order's total."""
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 0")
+    return o.select(F.col("o_orderkey").alias("key"), F.array_join(F.transform(drawing.tick_list(F.col("o_totalprice")), lambda v: F.format_string("%.2f", v)), " ").alias("ticks"))
+
+
+@query(
+    "s14_batch_lines",
+    """SELECT c_custkey AS track, '"' || c_name || '" | ' || c_mktsegment || ' | ' || CASE WHEN c_custkey % 7 = 0 THEN 'None' ELSE 'Some(' || c_nationkey || ')' END || ' | ' || CASE WHEN c_acctbal < 0 THEN 'None' ELSE 'Some(DR' || c_custkey % 20 || ')' END || ' | None | complete' AS line FROM customer""",
+)
+def s14_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch layout's lines."""
+    k = F.col("c_custkey")
+    line = reports.batch_line(F.col("c_name"), F.col("c_mktsegment"), F.when(k % 7 != 0, F.col("c_nationkey")), F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("DR"), (k % 20).cast("string"))), F.lit(None).cast("double"), F.lit("complete"))
+    return table(spark, sf_dir, "customer").select(k.alias("track"), line.alias("line"))
+
+
+@query(
+    "s14_product_text",
+    """SELECT n_nationkey AS track, '"' || n_name || '": analyzed' || chr(10) || 'Reference method (uncalibrated): none' || chr(10) || 'Scores are not probabilities or proof of authenticity, source or sound quality.' || chr(10)
+  || 'Native ancestry: INCONCLUSIVE; evidence index: unavailable.' || chr(10) || 'Reference scores:' || chr(10) || '{"main":' || n_regionkey || '}' || chr(10) || 'Product diagnostics:' || chr(10) || '["' || n_name || '"]' AS text FROM nation""",
+)
+def s14_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product layout's text."""
+    sections = {"Reference scores": F.struct(F.col("n_regionkey").alias("main")), "Product diagnostics": F.array("n_name")}
+    text = reports.product_text(F.col("n_name"), F.lit("analyzed"), F.lit("none"), sections)
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("track"), text.alias("text"))

@@ -205,6 +205,35 @@ def e01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.manifest_violations(cases(spark, sf_dir))
 
 
+@query(
+    "e02_submissions",
+    f"""WITH {_CASES_SQL}, k AS (SELECT id, any_value(split) AS binding, min(pcm_hash) AS pcm_hash, min(source_group) AS source_group FROM cases GROUP BY 1),
+r AS (SELECT CAST(doc_id % 1000 AS BIGINT) AS id, doc_id AS seq, CASE WHEN doc_id % 6 = 0 THEN 'other' ELSE 'x' END AS mark, CASE WHEN doc_id % 19 = 0 THEN 'bad' ELSE sha256(text) END AS pcm_hash FROM documents),
+b AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'other' ELSE 'x' END AS case_binding, pcm_hash AS case_hash FROM k),
+g AS (SELECT pcm_hash AS h FROM k WHERE pcm_hash IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source_group) > 1),
+n AS (SELECT r.*, row_number() OVER (PARTITION BY r.id ORDER BY seq) AS nth, b.id IS NOT NULL AS known, case_binding, case_hash, g.h IS NOT NULL AS leaked FROM r LEFT JOIN b USING (id) LEFT JOIN g ON g.h = r.pcm_hash),
+w AS (SELECT id, seq, CASE WHEN NOT known THEN 'unknown case' WHEN nth > 1 THEN 'submitted before' WHEN mark IS DISTINCT FROM case_binding THEN 'binding' WHEN NOT regexp_full_match(pcm_hash, '[0-9a-f]{{64}}') THEN 'invalid hash' WHEN case_hash <> pcm_hash THEN 'other hash' WHEN leaked THEN 'hash of another group' END AS reason FROM n)
+SELECT id, seq, reason IS NULL AS accepted, reason FROM w""",
+)
+def e02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports submitted for the manifest's cases: which are accepted, and why others are not."""
+    k = cases(spark, sf_dir).groupBy("id").agg(F.min("pcm_hash").alias("pcm_hash"), F.min("source_group").alias("source_group"))
+    manifest = k.withColumn("binding", F.when(F.col("id") % 5 == 0, "other").otherwise("x"))
+    i = F.col("doc_id")
+    reports = table(spark, sf_dir, "documents").select((i % 1000).alias("id"), i.alias("seq"), F.when(i % 6 == 0, "other").otherwise("x").alias("binding"), F.when(i % 19 == 0, "bad").otherwise(F.sha2("text", 256)).alias("pcm_hash"))
+    return E.submissions(manifest, reports)
+
+
+@query(
+    "a39_distinct_sets",
+    """SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds, count(*) - count(DISTINCT floor(value)) AS repeats FROM events GROUP BY 1""",
+)
+def a39_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values as a sorted list, and how many rows repeat one."""
+    g = table(spark, sf_dir, "events").groupBy("user_id")
+    return g.agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"), (F.count("*") - F.countDistinct(F.floor("value"))).alias("repeats"))
+
+
 @query(
     "e03_outcomes",
     f"""WITH {SERIES_SQL}, g AS (SELECT part, count(*) AS slots, count(*) FILTER (WHERE hit AND x > 1) AS hits, count(*) FILTER (WHERE x <= 0.9e0) AS undetected FROM series GROUP BY part)

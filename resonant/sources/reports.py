@@ -43,3 +43,28 @@ def violations(text: DataFrame, column: str, schema: T.StructType, version: str
 def table_line(*cells: Column) -> Column:
     """A row of a text table; unknown cells are dashes."""
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("-")) for c in cells]), F.lit(" |"))
+
+
+# What the layouts begin with.
+BATCH_HEAD = ("Batch summary — uncalibrated reference method", "Track | Status | Main | DR (legacy first channel) | Native LUFS | Reference status")
+PRODUCT_NOTES = ("Scores are not probabilities or proof of authenticity, source or sound quality.", "Native ancestry: INCONCLUSIVE; evidence index: unavailable.")
+
+
+def batch_line(source: Column, status: Column, main: Column, dr: Column, lufs: Column, reference: Column) -> Column:
+    """A track's line of the batch layout; the source is quoted as JSON, unknown values read None."""
+    known = lambda c: F.coalesce(F.concat(F.lit("Some("), c, F.lit(")")), F.lit("None"))
+    quoted = F.regexp_extract(F.to_json(F.struct(source.alias("s"))), r'(?s)^\{"s":(.*)\}$', 1)
+    return F.concat_ws(" | ", quoted, status, known(main.cast("string")), known(dr), known(lufs.cast("string")), reference)
+
+
+def batch_text(lines: DataFrame, order: str, line: str = "line") -> DataFrame:
+    """The whole layout as one row: for as many tracks as one report has, a fixed bound of the format."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line]), "\n")
+    return lines.agg(F.concat(F.lit("\n".join(BATCH_HEAD) + "\n"), body).alias("text"))
+
+
+def product_text(source: Column, status: Column, summary: Column, sections: dict[str, Column]) -> Column:
+    """The product layout: title, notes, then each section's name and its value as JSON."""
+    title = F.concat(F.regexp_extract(F.to_json(F.struct(source.alias("s"))), r'(?s)^\{"s":(.*)\}$', 1), F.lit(": "), status)
+    parts = [F.concat(F.lit(f"{name}:\n"), F.coalesce(F.to_json(value), F.lit("null"))) for name, value in sections.items()]
+    return F.concat_ws("\n", title, F.concat(F.lit("Reference method (uncalibrated): "), summary), *[F.lit(n) for n in PRODUCT_NOTES], *parts)
