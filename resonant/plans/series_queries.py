@@ -164,9 +164,9 @@ def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{S}, b AS (SELECT part, frame // 8 AS block, covar_pop(x, y) AS cov, var_pop(x) AS vx, var_pop(y) AS vy FROM series GROUP BY 1, 2 HAVING count(*) = 8)
 SELECT part, count(*) AS blocks, count(*) FILTER (WHERE vx * vy > 1e-12) AS valid_blocks, round(avg(CASE WHEN vx * vy > 1e-12 THEN cov / sqrt(vx * vy) END), 6) AS correlation,
        CASE WHEN avg(CASE WHEN vx * vy > 1e-12 THEN cov / sqrt(vx * vy) END) IS NULL THEN NULL
-            WHEN avg(CASE WHEN vx * vy > 1e-12 THEN cov / sqrt(vx * vy) END) >= 0.9e0 THEN 'near mono' WHEN avg(CASE WHEN vx * vy > 1e-12 THEN cov / sqrt(vx * vy) END) >= 0.5e0 THEN 'normal stereo'
-            WHEN avg(CASE WHEN vx * vy > 1e-12 THEN cov / sqrt(vx * vy) END) >= 0 THEN 'wide stereo' WHEN avg(CASE WHEN vx * vy > 1e-12 THEN cov / sqrt(vx * vy) END) >= -0.3e0 THEN 'partly out of phase'
-            ELSE 'out of phase' END AS verdict
+            WHEN avg(CASE WHEN vx * vy > 1e-12 THEN cov / sqrt(vx * vy) END) >= 0.9e0 THEN 'Mono-compatible' WHEN avg(CASE WHEN vx * vy > 1e-12 THEN cov / sqrt(vx * vy) END) >= 0.5e0 THEN 'Normal stereo'
+            WHEN avg(CASE WHEN vx * vy > 1e-12 THEN cov / sqrt(vx * vy) END) >= 0 THEN 'Wide stereo' WHEN avg(CASE WHEN vx * vy > 1e-12 THEN cov / sqrt(vx * vy) END) >= -0.3e0 THEN '⚠ Possible fake stereo / heavy M-S processing'
+            ELSE '⚠ Phase cancellation — check mono fold-down' END AS verdict
 FROM b GROUP BY part""",
 )
 def a27(spark: SparkSession, sf_dir: str) -> DataFrame:
