@@ -52,6 +52,8 @@ BUCKET_BYTES = 24_000_000
 MAP_BITS = 1 << 23
 #: Shingles of a block that one task searches whole.
 BLOCK_TOKENS = 6_000_000
+#: Shingles of a slice of a larger block: an eighth of what a task searches whole, but not so few that most sets are longer.
+SLICE_SHARE, LEAST_SLICE = 8, 1000
 #: Entries of short lists up to which they are merged by a heap.
 HEAP_ENTRIES = 2048
 
@@ -509,7 +511,7 @@ def link_components(docs: DataFrame, n: int = WORDS, bucket_bytes: int = BUCKET_
     if (total[1] or 0) > block_tokens:
         large = held.where(F.col("w") > block_tokens).select(F.col("sig").alias("s"))
         own = materialize(shared.join(large, F.col("sig") == F.col("s"), "left_semi"))
-        links = links.unionByName(_search_large(own, sets, parts, max(1, block_tokens // 8), small_edges))
+        links = links.unionByName(_search_large(own, sets, parts, max(LEAST_SLICE, block_tokens // SLICE_SHARE), small_edges))
     roots = materialize(components(links, small_edges).select(F.col("node").alias("sig"), "root"))
 
     classes = named.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
