@@ -145,6 +145,8 @@ def align(items: Items, words: np.ndarray, counts: np.ndarray, least: float) ->
     row = np.searchsorted(ends, at, "right")
     inside = at + items.n <= ends[row]
     at, key, row = at[inside], key[inside], row[inside]
+    if not len(at):
+        return
     many = items.count[key]
     slot = np.repeat(items.first[key], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     item, at, row = items.item[slot], np.repeat(at, many), np.repeat(row, many)

@@ -107,3 +107,11 @@ def test_empty_tables_and_long_text(spark, bench):
     assert [(r.item_id, r.score) for r in D.hits(docs, bench).collect()] == [(2, 1.0)]
     assert D.hits(docs.limit(0), bench).count() == 0
     assert D.hits(docs, bench.limit(0)).count() == 0 and D.remove(docs, bench.limit(0)).count() == 1
+
+
+def test_seed_across_two_documents_only(spark):
+    """The end of one document and the start of the next make a seed, and no document holds one."""
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "one two alpha beta"), (2, "gamma three four")], "doc_id long, text string").coalesce(1)
+    assert D.hits(docs, bench).collect() == []
+    assert [r.doc_id for r in D.remove(docs, bench).orderBy("doc_id").collect()] == [1, 2]
