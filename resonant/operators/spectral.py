@@ -171,9 +171,12 @@ def top_band(bins: DataFrame, n: int) -> DataFrame:
 def comb_peaks(lags: DataFrame, wanted: tuple[int, ...], least: float, factor: float) -> DataFrame:
     """How many wanted lags stand out from the lags beside them; two or more are a comb."""
     by = Window.partitionBy("channel").orderBy("lag")
-    side = lambda move, d: F.when(move("lag").over(by) == F.col("lag") + d, F.abs(move("correlation").over(by)))
-    near = lags.select("channel", "lag", "correlation", side(F.lag, -1).alias("before"), side(F.lead, 1).alias("after"))
-    beside = near.where(F.col("lag").isin(*wanted)).withColumn("beside", F.greatest("before", "after")).where("beside is not null")
+    next_to = lambda move, d: move("lag").over(by) == F.col("lag") + d
+    side = lambda move, d: F.when(next_to(move, d), F.abs(move("correlation").over(by)))
+    known = F.coalesce(next_to(F.lag, -1), F.lit(False)) | F.coalesce(next_to(F.lead, 1), F.lit(False))
+    near = lags.select("channel", "lag", "correlation", side(F.lag, -1).alias("before"), side(F.lead, 1).alias("after"), known.alias("known"))
+    # a channel too flat for correlations has its lags without values, and no peaks
+    beside = near.where(F.col("lag").isin(*wanted) & F.col("known")).withColumn("beside", F.greatest("before", "after"))
     hit = (F.col("correlation") > least) & (F.col("correlation") > factor * F.col("beside"))
     return beside.groupBy("channel").agg(F.count_if(hit).alias("peaks")).withColumn("comb", F.col("peaks") >= 2)
 
