@@ -1,11 +1,13 @@
-"""Values for drawing: colours of levels, axis ticks, and text forms of times and numbers. All built-in expressions."""
+"""Values for drawing: colours of levels, axis ticks, and text forms of times and numbers. All built-in expressions but the six digits."""
 
 from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Colour anchors from the floor to the ceiling, and those two levels in decibels.
 ANCHORS = ((0, 0, 0), (48, 16, 80), (160, 32, 64), (240, 128, 32), (255, 240, 160))
@@ -46,23 +48,20 @@ def section_text(start: Column, end: Column, at_end: Column) -> Column:
 
 
 def six_digits(value: float) -> str:
-    """A number with six significant digits, as short as it goes."""
-    return f"{value:.6g}"
+    """A number with six significant digits, as short as it goes; zeros and what is no number keep their signs."""
+    return "-nan" if math.isnan(value) and math.copysign(1, value) < 0 else f"{value:.6g}"
+
+
+@F.arrow_udf(T.StringType())
+def _six_digits(values: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else six_digits(v) for v in values.to_pylist()], pa.string())
 
 
 def six_digit_text(value: Column) -> Column:
-    """The same as a column: fixed notation from 1e-4 up to a million, else with an exponent of two digits; no closing zeros."""
-    size = F.abs(value)
-    # rounding to six digits can carry into the next power
-    scaled = F.format_string("%.5e", value)
-    power = F.when(size > 0, F.regexp_extract(scaled, r"e([+-]\d+)$", 1).cast("int")).otherwise(F.lit(0))
-    trimmed = lambda text: F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    fixed = F.lit(None).cast("string")
-    for k in range(-4, 6):
-        fixed = F.when(power == k, F.format_string(f"%.{5 - k}f", value)).otherwise(fixed)
-    mantissa = trimmed(F.regexp_extract(scaled, r"^(.*)e", 1))
-    tail = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    return F.when(value.isNull(), F.lit(None).cast("string")).when(value == 0, "0").when(power.between(-4, 5), trimmed(fixed)).otherwise(F.concat(mantissa, tail))
+    """The same as a column: fixed notation from 1e-4 up to a million, else with an exponent of two digits; no closing zeros.
+
+    Java's formatter rounds the shortest decimal form half up, not the number itself, and knows no such notation."""
+    return _six_digits(value.cast("double"))
 
 
 def tick_list(most: Column) -> Column:
