@@ -14,10 +14,12 @@ different sets that their components need, none by sampling:
    set of the smallest name on a list is its head, and every other set goes once, to the smallest head of its lists; a
    head's sets are searched in slices with the head in each. Lists whose sets are then not yet in one component are
    searched once more, equal lists once: the sets outside the list's largest component ask all of the list, slice by slice.
+   Where its lists together move more than the block does, as with one large group of near copies, the block is taken as one list.
 
 Within a block, inverted lists of each query set's shingles are divided: the short ones are merged, with a heap that skips
 what can't reach the count, or by one counting sort of all their entries where they are many; the L longest are probed by
-binary search, and sets that reach the required overlap are verified and united. A set that is already in the block's largest component need not ask. Hashes have 64 bits; equal
+binary search, and sets that reach the required overlap are verified and united. Queries that share shingles with most of the
+block have their long lists probed together, as a product of matrices. A set that is already in the block's largest component need not ask. Hashes have 64 bits; equal
 hashes count as equal shingles, sets or lists.
 
 Words are runs of bytes other than \\x20 and \\x09-\\x0D, with A-Z made lower case. Defined cases: a text of fewer than
@@ -54,8 +56,14 @@ MAP_BITS = 1 << 23
 BLOCK_TOKENS = 6_000_000
 #: Shingles of a slice of a larger block: an eighth of what a task searches whole, but not so few that most sets are longer.
 SLICE_SHARE, LEAST_SLICE = 8, 1000
+#: Shingles on each side of a cell, in which those that ask meet those asked: a quarter of what a task searches whole.
+CELL_SHARE = 4
 #: Entries of short lists up to which they are merged by a heap.
 HEAP_ENTRIES = 2048
+#: Indexes of so many sets keep the lists that a DENSE_SHARE-th of the sets are on as a matrix too, of at most so many cells.
+DENSE_SETS, DENSE_SHARE, DENSE_CELLS = 256, 16, 1 << 24
+#: Queries whose lists have this many entries for each set of the index are counted together, in batches of at most so many cells.
+DENSE_ENTRIES, BATCH, BATCH_CELLS = 4, 128, 1 << 22
 
 #: Edges up to this many (16 bytes each) are united in one task; above it by rounds of joins.
 SMALL_EDGES = 1_000_000
@@ -301,11 +309,53 @@ class Index:
         owner = owner[order]
         self.size_array = np.array(self.sizes, np.int64)
         self.lists = {k: owner[a : a + c] for k, a, c in zip(keys.tolist(), first.tolist(), count.tolist(), strict=True)}
+        self.by_size = np.sort(self.size_array)
+        self.row, self.batch = {}, 1
+        if (total := len(sets)) >= DENSE_SETS:
+            dense = np.flatnonzero(count * DENSE_SHARE >= total)
+            dense = dense[np.argsort(-count[dense], kind="stable")][: DENSE_CELLS // total]
+            if len(dense):
+                self.row = {k: i for i, k in enumerate(keys[dense].tolist())}
+                self.batch = max(1, min(BATCH, BATCH_CELLS // total))
+                self.matrix = np.zeros((len(dense), total), np.float32)
+                for k, i in self.row.items():
+                    self.matrix[i, self.lists[k]] = 1
+
+    def _need(self, size: int) -> int:
+        """The least overlap of a set of this size with any partner in the index."""
+        at = int(np.searchsorted(self.by_size, -(-LEAST * size // PARTS)))
+        return max(1, -(-LEAST * (size + int(self.by_size[at])) // (LEAST + PARTS))) if at < len(self.by_size) else size + 1
+
+    def search_all(self, queries: list[np.ndarray], skips: list[int]) -> list[list[int]]:
+        """search() of each query; those that most of the index shares shingles with have their long lists probed together."""
+        found: list[list[int]] = [[]] * len(queries)
+        together: list[tuple[int, list[np.ndarray]]] = []
+        rows: list[list[int]] = []
+        for i, (query, skip) in enumerate(zip(queries, skips, strict=True)):
+            keys = [t for t in query.tolist() if t in self.lists] if self.row else []
+            if sum(len(self.lists[t]) for t in keys) < DENSE_ENTRIES * len(self.sets):
+                found[i] = self.search(query, skip)
+            elif sum(len(x) > 1 or x[0] != skip for x in map(self.lists.get, keys)) >= self._need(len(query)):
+                together.append((i, [self.lists[t] for t in keys if t not in self.row]))
+                rows.append([self.row[t] for t in keys if t in self.row])
+        for a in range(0, len(together), self.batch):
+            part = together[a : a + self.batch]
+            asked = np.zeros((len(part), len(self.row)), np.float32)
+            for k, r in enumerate(rows[a : a + self.batch]):
+                asked[k, r] = 1
+            counts = (asked @ self.matrix).astype(np.int64)
+            for both, (i, short) in zip(counts, part, strict=True):
+                if short:
+                    both += np.bincount(np.concatenate(short), minlength=len(both))
+                # a set without a common shingle links with nothing
+                hit = np.flatnonzero((both > 0) & _linked(both, len(queries[i]), self.size_array))
+                found[i] = hit[hit != skips[i]].tolist()
+        return found
 
     def search(self, query: np.ndarray, skip: int = -1) -> list[int]:
         """The sets that link with the query, by DivideSkip; skip is left out."""
         size = len(query)
-        need = max(1, -(-LEAST * size // PARTS))
+        need = self._need(size)
         lists = sorted((x for t in query.tolist() if (x := self.lists.get(t)) is not None and (len(x) > 1 or x[0] != skip)), key=len)
         if len(lists) < need:
             return []
@@ -384,17 +434,25 @@ def search_block(sets: list[np.ndarray]) -> list[int]:
     largest, asked = 0, [False] * len(sets)
     todo = list(range(len(sets)))
     while todo:
-        left = []
-        for q in todo:
-            if asked[q] or (q and union.find(q) == union.find(largest)):
-                left.append(q)
-                continue
-            asked[q] = True
-            for y in index.search(sets[q], skip=q):
-                union.join(q, y)
-            root = union.find(q)
-            if union.size[root] > union.size[union.find(largest)]:
-                largest = root
+        left, at, step = [], 0, 1
+        while at < len(todo):
+            batch = []
+            while at < len(todo) and len(batch) < step:
+                q = todo[at]
+                at += 1
+                if asked[q] or (q and union.find(q) == union.find(largest)):
+                    left.append(q)
+                else:
+                    asked[q] = True
+                    batch.append(q)
+            # the first ones bring most of a cluster together, so that most others need not ask
+            step = min(2 * step, index.batch)
+            for q, found in zip(batch, index.search_all([sets[q] for q in batch], batch), strict=True):
+                for y in found:
+                    union.join(q, y)
+                root = union.find(q)
+                if union.size[root] > union.size[union.find(largest)]:
+                    largest = root
         todo = [q for q in left if not asked[q] and union.find(q) != union.find(largest)]
     return [union.find(i) for i in range(len(sets))]
 
@@ -462,19 +520,41 @@ def _search_mixed(mixed: DataFrame, sets: DataFrame, parts: int, block_tokens: i
             sig, sets = cell["sig"].to_numpy(), [np.asarray(s, np.int64) for s in cell["shingles"]]
             members = np.flatnonzero(~asks).tolist()
             index = Index([sets[k] for k in members])
-            for k in np.flatnonzero(asks).tolist():
-                out += [(int(sig[k]), int(sig[members[y]])) for y in index.search(sets[k]) if sig[members[y]] != sig[k]]
+            askers = np.flatnonzero(asks).tolist()
+            for a in range(0, len(askers), BATCH):
+                some = askers[a : a + BATCH]
+                for k, found in zip(some, index.search_all([sets[k] for k in some], [-1] * len(some)), strict=True):
+                    out += [(int(sig[k]), int(sig[members[y]])) for y in found if sig[members[y]] != sig[k]]
         return pd.DataFrame(out, columns=["a", "b"])
 
     return rows.select("task", "t", "i", "j", "sig", "asks", "shingles").groupBy("task").applyInPandas(run, "a long, b long")
 
 
-def _search_large(shared: DataFrame, sets: DataFrame, parts: int, slice_tokens: int, small_edges: int) -> DataFrame:
-    """(a, b) links of the sets on these lists, list by list, as step 4 has it."""
+def _moved(rows: DataFrame, by: tuple[str, ...], cell_tokens: int) -> DataFrame:
+    """by and moved: about how many shingles the cells of rows (n, asks and the columns by) take, together."""
+    v, w = F.sum(F.when(F.col("asks"), F.col("n")).otherwise(0)), F.sum("n")
+    return rows.groupBy(*by).agg(v.alias("v"), w.alias("w")).select(*by, (F.col("v") * F.ceil(F.col("w") / cell_tokens) + F.col("w") * F.ceil(F.col("v") / cell_tokens)).alias("moved"))
+
+
+def _cheaper(mixed: DataFrame, blocks: DataFrame, roots: DataFrame, cell_tokens: int) -> DataFrame:
+    """The mixed lists, but in place of those of a block the block itself as one list, where that moves no more shingles."""
+    comp = _with(blocks, "sig", roots.withColumnRenamed("root", "comp")).select("sig", "n", F.col("root").alias("t"), F.coalesce("comp", "sig").alias("comp"))
+    sizes = comp.groupBy("t", "comp").agg(F.count("*").alias("k"))
+    largest = materialize(sizes.groupBy("t").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest")))
+    whole = materialize(_with(comp, "t", largest).select("sig", "n", "t", (F.col("comp") != F.col("largest")).alias("asks")))
+    placed = materialize(_with(mixed, "sig", blocks.select("sig", F.col("root").alias("block"))))
+    lists = _moved(placed, ("block", "t"), cell_tokens).groupBy("block").agg(F.sum("moved").alias("listed"))
+    both = _moved(whole, ("t",), cell_tokens).join(lists, F.col("t") == F.col("block"))
+    taken = materialize(both.where("moved <= listed").select("block"))
+    return materialize(placed.join(taken, "block", "left_anti").drop("block").unionByName(whole.join(taken, F.col("t") == F.col("block"), "left_semi")))
+
+
+def _search_large(shared: DataFrame, sets: DataFrame, blocks: DataFrame, parts: int, slice_tokens: int, cell_tokens: int, small_edges: int) -> DataFrame:
+    """(a, b) links of the sets on these lists, as step 4 has it; blocks: sig, n and root of these sets."""
     links = materialize(_around_heads(shared, sets, parts, slice_tokens))
     roots = materialize(components(links, small_edges).select(F.col("node").alias("sig"), "root"))
     mixed = _mixed_lists(shared, roots)
-    return links if mixed is None else links.unionByName(_search_mixed(mixed, sets, parts, slice_tokens))
+    return links if mixed is None else links.unionByName(_search_mixed(_cheaper(mixed, blocks, roots, cell_tokens), sets, parts, cell_tokens))
 
 
 def link_components(docs: DataFrame, n: int = WORDS, bucket_bytes: int = BUCKET_BYTES, block_tokens: int = BLOCK_TOKENS, small_edges: int = SMALL_EDGES) -> DataFrame:
@@ -504,14 +584,16 @@ def link_components(docs: DataFrame, n: int = WORDS, bucket_bytes: int = BUCKET_
     weights = materialize(sized.groupBy("root").agg(F.sum("n").alias("w")))
     total = weights.agg(F.sum("w"), F.max("w")).first()
     tasks = max(1, parts, math.ceil((total[0] or 0) / block_tokens))
-    held = materialize(_with(sized.select("sig", "root"), "root", weights))
+    held = materialize(_with(sized.select("sig", "n", "root"), "root", weights))
     small = held.where(F.col("w") <= block_tokens).select(F.col("sig").alias("s"), "root")
     blocks = sets.join(small, F.col("sig") == F.col("s"))
     links = _search_blocks(blocks.select(F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"), "root", "sig", "shingles"))
     if (total[1] or 0) > block_tokens:
         large = held.where(F.col("w") > block_tokens).select(F.col("sig").alias("s"))
         own = materialize(shared.join(large, F.col("sig") == F.col("s"), "left_semi"))
-        links = links.unionByName(_search_large(own, sets, parts, max(LEAST_SLICE, block_tokens // SLICE_SHARE), small_edges))
+        inside = held.where(F.col("w") > block_tokens).select("sig", "n", "root")
+        sizes = (max(LEAST_SLICE, block_tokens // share) for share in (SLICE_SHARE, CELL_SHARE))
+        links = links.unionByName(_search_large(own, sets, inside, parts, *sizes, small_edges))
     roots = materialize(components(links, small_edges).select(F.col("node").alias("sig"), "root"))
 
     classes = named.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))

@@ -138,3 +138,46 @@ def test_search_matches_all_pairs():
         for q, s in enumerate(sets):
             want = [y for y in range(len(sets)) if y != q and len(s) and J._linked(len(np.intersect1d(s, sets[y])), len(s), len(sets[y]))]
             assert sorted(index.search(s, skip=q)) == want
+
+
+def near_copies(n, seed=6):
+    """Edited copies of one text, of which about a third are too different to link, and texts of other sizes."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        t = [f"w{k}" for k in range(100 if i % 9 else 80)]
+        for p in rng.sample(range(len(t)), rng.choice([1, 2, 3, 8, 10])):
+            t[p] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+def test_dense_block_matches_all_pairs_and_asks_together(monkeypatch):
+    rows = near_copies(400)
+    sets = [s.view(np.int64) for s in J.shingle_sets(J.pa.array([t for _, t in rows]))]
+    want = {frozenset(g) for g in _groups([c for _, _, c in sorted(brute(rows))])}
+    one_by_one = []
+    plain = J.Index.search
+    monkeypatch.setattr(J.Index, "search", lambda self, *a, **kw: one_by_one.append(1) or plain(self, *a, **kw))
+    assert {frozenset(g) for g in _groups(J.search_block(sets))} == want and 1 < len(want) < len(rows)
+    assert len(one_by_one) < 10
+    # the same in batches of one, with a matrix of few lists, and without one
+    for name, value in (("BATCH", 1), ("DENSE_CELLS", 4000), ("DENSE_SETS", 1000)):
+        monkeypatch.setattr(J, name, value)
+        assert {frozenset(g) for g in _groups(J.search_block(sets))} == want
+
+
+def _groups(labels):
+    out = {}
+    for i, x in enumerate(labels):
+        out.setdefault(x, []).append(i)
+    return out.values()
+
+
+def test_large_group_moves_once_for_each_cell_not_for_each_list(spark, monkeypatch):
+    rows = near_copies(300)
+    seen = []
+    search = J._search_mixed
+    monkeypatch.setattr(J, "_search_mixed", lambda mixed, *a: seen.append(mixed.count()) or search(mixed, *a))
+    assert run(spark, rows, block_tokens=8000) == brute(rows)
+    assert len(seen) == 1 and 0 < seen[0] <= len(rows)
